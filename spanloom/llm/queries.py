@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, urlfilter
+from . import licences, mixing, urlfilter, warc
 from .common import table
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,12 +22,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_source_mix, op9_url_filter)}
+    return {f.__name__: f for f in (op2_licence_scan, op6_source_mix, op9_url_filter, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_licence_scan": licences.oracle(),
+        "op10_warc_round_trip": warc.ORACLE,
         "op6_source_mix": mixing.ORACLE.replace("{docs}", "documents"),
         "op9_url_filter": urlfilter.ORACLE.replace("{pages}", "pages"),
     }
