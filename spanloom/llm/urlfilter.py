@@ -31,7 +31,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-KEYS_PER_RUN = 4096
+KEYS_PER_RUN = 512  # or four times the level's rules, so that copies of rules stay fewer than keys
 SMALL_RULES = 20_000
 TOP = "\U0010ffff"
 
@@ -76,9 +76,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
     urls = urls.select("page_id", "url", "_n", host.alias("host"), path.alias("path"))
     labels = _reversed_host(F.col("host"))
     levels = urls.select("page_id", "url", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, 1, k), "."))).alias("level"))
-    ruled = events.select("level").distinct()
-    levels = levels.join(F.broadcast(ruled) if few else ruled, "level", "left_semi")
-    counts = levels.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / F.lit(KEYS_PER_RUN)).cast("int").alias("runs"))
+    ruled = events.groupBy("level").agg(F.greatest(F.lit(KEYS_PER_RUN), F.lit(2) * F.count(F.lit(1))).alias("keys"))
+    levels = levels.join(F.broadcast(ruled) if few else ruled, "level")
+    counts = levels.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / F.max("keys")).cast("int").alias("runs"))
     counts = F.broadcast(counts) if few else counts  # no more rows than rules
     keyed = levels.join(counts, "level").select("level", F.pmod(F.xxhash64("page_id", "url"), "runs").cast("int").alias("run"), F.concat("level", "path").alias("key"), F.lit(1).alias("kind"), "page_id", "url")
     copied = events.join(counts, "level").select("level", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), "key", "kind", "top")
