@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, urlfilter, warc
+from . import licences, mixing, simhash, urlfilter, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,7 +31,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_licence_scan, op6_source_mix, op9_url_filter, op10_warc_round_trip)}
+    return {f.__name__: f for f in (op2_licence_scan, op5_simhash_components, op6_source_mix, op9_url_filter, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
