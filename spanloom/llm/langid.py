@@ -167,12 +167,12 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in keep, lang_pred, score, rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.scores, model.bias, model.temperature, model.threshold))  # BUCKETS rows, whatever the input
     own = docs.select("doc_id", *keep, F.when(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), F.col("text").cast("binary")).alias("_bytes"))
     names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             langs, score, rejected = [], [], []
             for text in batch.column(len(names)):
