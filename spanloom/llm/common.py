@@ -48,3 +48,11 @@ def ascii_lower(c: Column) -> Column:
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a column in all rows; sizes the dealing of rows, never selects any."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+BROADCAST_ROWS = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Broadcast where a count proves it small, else as it is. For slim rows of a written table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few, written
 
 RATE = 0.05
 BLOCK_CHARS = 2_000_000
@@ -143,4 +143,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """docs but for those that leak an item (by doc_id; rows with a null doc_id stay)."""
     leaking = written(find_leaks(docs, benchmark, rate).select("doc_id").distinct(), "leaking")
-    return docs.join(leaking, "doc_id", "left_anti")
+    return docs.join(few(leaking), "doc_id", "left_anti")

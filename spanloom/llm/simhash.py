@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -172,5 +172,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id. Rows with a null doc_id stay."""
     keep = near_duplicates(docs, words).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(keep, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth")
     return named.unionByName(docs.filter("doc_id is null"))

@@ -383,7 +383,7 @@ def _sort_blocks(length: int):
     return run
 
 
-RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "sha", "kept"]
 
 
 def _remove(length: int, with_text: bool):
@@ -415,7 +415,7 @@ def _remove(length: int, with_text: bool):
             elif place is None and key[0] is not None and n >= length:
                 kept, removed, spans = text[:0], n, 1  # a copy of a smaller document's text
             kept = kept.tobytes()
-            for col, v in zip(out, (key[0], n, removed, spans, sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+            for col, v in zip(out, (key[0], n, removed, spans, sha256(kept).hexdigest(), key[1], kept.decode("utf-8", "ignore") if with_text else None), strict=True):
                 col.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(out, _kinds(), strict=True)], RESULT)
 
@@ -423,7 +423,7 @@ def _remove(length: int, with_text: bool):
 
 
 def _kinds() -> list[pa.DataType]:
-    return [*[pa.int64()] * 4, pa.string(), pa.binary()]
+    return [*[pa.int64()] * 4, pa.string(), pa.binary(), pa.string()]
 
 
 def _empty() -> pa.Table:
@@ -431,7 +431,7 @@ def _empty() -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if with_text, kept (the bytes that are left)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if with_text, sha (of the whole text) and kept (what is left, as text)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"))
     slim = written(plain.select("doc_id", "sha", F.octet_length("text").alias("n")), "texts")
@@ -448,6 +448,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     masks = grams.groupBy("to").applyInArrow(_shared_grams, SIDE)
     blocks = dealt.cogroup(firsts.unionByName(masks).groupBy("chunk")).applyInArrow(_send_blocks(length, gram_groups, groups), SIDE)
     marks = blocks.groupBy("to").applyInArrow(_sort_blocks(length), SIDE)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, sha binary, kept string"
     out = dealt.cogroup(firsts.unionByName(marks).groupBy("chunk")).applyInArrow(_remove(length, with_text), schema)
-    return out if with_text else out.drop("kept")
+    return out if with_text else out.drop("sha", "kept")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with what is left of their texts (bytes of a character that is cut apart go) and n_chars of that."""
+    kept = remove_repeats(docs.filter("doc_id is not null"), length, with_text=True)
+    kept = kept.select("doc_id", F.hex("sha").alias("_sha"), F.col("kept").alias("_kept")).dropDuplicates(["doc_id", "_sha"])
+    sha = F.upper(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    slim = docs.filter("doc_id is not null").select(*[c for c in docs.columns if c != "text"], sha.alias("_sha"), F.col("text").isNull().alias("_null"))
+    columns = {c: F.col(c) for c in docs.columns} | {"text": F.when(~F.col("_null"), F.col("_kept"))}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
+    out = slim.join(kept, ["doc_id", "_sha"]).select(*[v.alias(c) for c, v in columns.items()])
+    return out.unionByName(docs.filter("doc_id is null"))

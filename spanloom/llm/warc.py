@@ -25,17 +25,11 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import few, fresh_path, written
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BROADCAST_ROWS = 100_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast where a count proves it small, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def records(pages: DataFrame, min_bytes: int = 100, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -45,7 +39,7 @@ def records(pages: DataFrame, min_bytes: int = 100, date: str = "1970-01-01T00:0
     large = rows.filter(F.col("n") >= min_bytes).select("page_id", "digest")
     groups = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
     groups = written(groups.select("digest", "refers_to"), "payload-groups")
-    rows = rows.join(_few(groups), "digest", "left")
+    rows = rows.join(few(groups), "digest", "left")
     refers = F.when((F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to"))
     rows = rows.withColumn("refers_to", refers).withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
@@ -111,7 +105,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     owner = F.last(F.when(F.col("real"), F.struct("at", "skip", "length", "head", "digest")), ignorenulls=True).over(in_file.rowsBetween(Window.unboundedPreceding, 0))
     marked = slim.join(real.select("file", "at", F.lit(True).alias("real")), ["file", "at"], "left").withColumn("owner", owner)
     parts = written(marked.filter("owner is not null and owner.digest is null").select("file", "nth", F.col("owner.at").alias("offset"), F.col("owner.skip").alias("skip"), F.col("owner.length").alias("length"), F.col("owner.head").alias("head")), "warc-parts")
-    found = _pieces(spark, path).select("file", "nth", "value").join(_few(parts), ["file", "nth"])
+    found = _pieces(spark, path).select("file", "nth", "value").join(few(parts), ["file", "nth"])
     together = found.groupBy("file", "offset").agg(F.first("skip").alias("skip"), F.first("length").alias("length"), F.first("head").alias("head"), F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("parts"))
     block = F.substr(F.array_join(F.transform("parts", lambda p: p["value"]), VERSION).cast("binary"), F.col("skip") + 1, F.col("length").cast("int"))
     return single.unionByName(together.select("file", "offset", "head", F.col("length").alias("block_bytes"), F.sha2(block, 256).alias("block_digest")))
