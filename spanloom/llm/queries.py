@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licences, mixing, simhash, suffix_dedup, toxicity, urlfilter, warc
+from . import ann, decontam, langid, licences, mixing, simhash, suffix_dedup, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "distance")
 
@@ -47,7 +51,11 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_licence_scan, op3_toxicity, op4_suffix_dedup, op5_simhash_components, op6_source_mix, op8_decontamination, op9_url_filter, op10_warc_round_trip)}
+    every = (
+        op1_language_id, op2_licence_scan, op3_toxicity, op4_suffix_dedup, op5_simhash_components,
+        op6_source_mix, op7_nearest_neighbours, op8_decontamination, op9_url_filter, op10_warc_round_trip,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
