@@ -66,6 +66,8 @@ def with_external(internal: DataFrame, external: DataFrame, keys: Sequence[str]
     of the others those that overlap go."""
     columns = [*keys, "start", "end", "detector", "family"]
     both = internal.select(*columns, F.lit(0).alias("external")).unionByName(external.select(*columns, F.lit(1).alias("external")))
+    # sides partitioned alike may come in different numbers of partitions at run time, which Spark 4.1 then fails to merge
+    internal.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return S.first_wins(both, ("external", "start", "end", "detector"), keys)
 
 
