@@ -227,7 +227,7 @@ def build_graph(nodes: DataFrame, dim: int, count: int, parts: int, rounds: int
     """id, v, nb, sim, fresh: each node's K best neighbours found."""
     updates = None
     for tree in range(TREES):
-        one = _start(nodes, dim, tree, parts)
+        one = _start(nodes, dim, tree, max(1, min(parts, count // (8 * WINDOW))))
         updates = one if updates is None else updates.unionByName(one)
     none = {"nb": F.array().cast("array<long>"), "sim": F.array().cast("array<float>"), "fresh": F.array().cast("array<int>")}
     graph = written(_merged(nodes.withColumns(none), updates, 0, parts), "ann-graph")
