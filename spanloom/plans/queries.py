@@ -78,6 +78,14 @@ def sql_counts(gold: str, pred: str, cols: str, by: str = "") -> str:
 FROM (SELECT {cols}, sum(g) AS g, sum(p) AS p FROM (SELECT {cols}, 1 AS g, 0 AS p FROM {gold} UNION ALL SELECT {cols}, 0, 1 FROM {pred}) GROUP BY {cols}){group}"""
 
 
+def planted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with planted synthetic secrets, as a table of its own: many plans start from it."""
+    planted = inject.inject(read(spark, sf_dir)).select("doc_id", "text")
+    path = scratch_path(spark, "planted")
+    planted.write.parquet(path)
+    return spark.read.schema(planted.schema).parquet(path)
+
+
 # ---- finding spans
 
 
@@ -381,7 +389,7 @@ def inject_offsets(spark, sf_dir):
 @query()
 def candidate_spans(spark, sf_dir):
     """Candidates in texts with planted secrets, by detector and family."""
-    docs = inject.inject(read(spark, sf_dir)).select("doc_id", "text")
+    docs = planted_texts(spark, sf_dir)
     return detect.candidates(docs).groupBy("detector", "family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -410,7 +418,7 @@ def mask_residue(spark, sf_dir):
 @query("SELECT count(*) AS n_docs, 0::BIGINT AS n_length_changed, 0::BIGINT AS n_value_left FROM documents")
 def sanitize_invariants(spark, sf_dir):
     """Texts with planted secrets, sanitized: none that is kept changes its length or holds a sanitized value."""
-    planted = inject.inject(read(spark, sf_dir)).select("doc_id", "text")
+    planted = planted_texts(spark, sf_dir)
     texts, records = sanitize.sanitize(planted)
     pairs = texts.join(planted.withColumnRenamed("text", "raw"), "doc_id")
     raw = records.join(planted, "doc_id").select("doc_id", T.cut(F.col("text"), F.col("start"), F.col("end")).alias("v"))
@@ -422,7 +430,7 @@ def sanitize_invariants(spark, sf_dir):
 @query()
 def sanitize_records(spark, sf_dir):
     """Records and exclusions by family or reason; synthetic values come from a hash in Python."""
-    texts, records = sanitize.sanitize(inject.inject(read(spark, sf_dir)).select("doc_id", "text"))
+    texts, records = sanitize.sanitize(planted_texts(spark, sf_dir))
     a = records.groupBy(F.col("family").alias("what")).agg(F.count(F.lit(1)).alias("n"))
     return a.unionByName(texts.filter("exclude_reason is not null").groupBy(F.col("exclude_reason").alias("what")).agg(F.count(F.lit(1)).alias("n")))
 
