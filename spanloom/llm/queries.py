@@ -61,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_licence_scan": licences.oracle(),
+        "op4_suffix_dedup": suffix_dedup.ORACLE,
         "op10_warc_round_trip": warc.ORACLE,
         "op6_source_mix": mixing.ORACLE.replace("{docs}", "documents"),
         "op9_url_filter": urlfilter.ORACLE.replace("{pages}", "pages"),

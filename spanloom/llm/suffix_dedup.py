@@ -464,3 +464,25 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         columns["n_chars"] = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
     out = slim.join(kept, ["doc_id", "_sha"]).select(*[v.alias(c) for c, v in columns.items()])
     return out.unionByName(docs.filter("doc_id is null"))
+
+
+#: The same by brute force: every window of 50 bytes, in hexadecimal digits, with its smallest doc_id.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM d WHERE n >= 50 AND doc_id IS NOT NULL)
+), first AS (
+  SELECT s, min(doc_id) AS f FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, p FROM w JOIN first USING (s) WHERE f < doc_id
+), runs AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS fresh FROM hit)
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, run
+), cut AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM spans
+), kept AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k FROM cut JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
