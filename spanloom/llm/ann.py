@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 K, SAMPLE, ROUNDS, TREES, WINDOW, STOP = 24, 12, 6, 6, 256, 0.005
-EXPAND, SEARCH_ROUNDS, POOL, RESCORE, BLOCK = 150, 6, 600, 60, 4096
+EXPAND, SEARCH_ROUNDS, POOL, RESCORE, BLOCK = 150, 6, 600, 60, 1024
 
 
 def _release(spark: SparkSession) -> None:
@@ -281,8 +281,8 @@ def _search(graph: DataFrame, asked: DataFrame, count: int) -> DataFrame:
         place = o[np.minimum(np.searchsorted(ids[o], want), len(o) - 1)]
         found = ids[place] == want
         out = []
-        for a in range(0, len(want), 2048):
-            rows = np.arange(a, min(a + 2048, len(want)))
+        for a in range(0, len(want), 1024):
+            rows = np.arange(a, min(a + 1024, len(want)))
             rows = rows[found[rows]]
             m = n[place[rows]]
             at = np.repeat(starts[place[rows]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
@@ -350,7 +350,7 @@ def nearest(vectors: DataFrame, is_query=None, k: int = 20, id_col: str = "vec_i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "v"])
 
     nodes = written(classes.select("id", "embedding").mapInArrow(half, "id long, v binary"), "ann-nodes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // (8 * BLOCK)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 32768))
     graph = build_graph(nodes, dim, count, parts)
 
     queries = written(rows.filter(is_query).select("vec_id", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "ann-queries")
