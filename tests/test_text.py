@@ -48,7 +48,7 @@ def test_keyworded_values_need_no_call(spark):
 
 
 def test_lookalike_categories_and_precedence(spark):
-    text = 'id = "123e4567-e89b-12d3-a456-426614174000"\nmd5 d41d8cd98f00b204e9800998ecf8427e\nssh-rsa AAAAB3NzaC1yc2E= x\nMY_ENV_NAME 10.0.0.1 aa:bb:cc:dd:ee:ff\n' + "a" * 32
+    text = 'id = "123e4567-e89b-12d3-a456-426614174000"\nmd5 d41d8cd98f00b204e9800998ecf8427e\nssh-rsa AAAAB3NzaC1yc2E= x\nMYAPP_ENV_NAME MY_ENV 10.0.0.1 aa:bb:cc:dd:ee:ff\n' + "a" * 32
     got = {(r.category, r.line) for r in detect.lookalikes(frame(spark, [text])).collect()}
     assert got == {("uuid", 1), ("hex_md5", 2), ("ssh_pubkey", 3), ("env_var_name", 4), ("ipv4", 4), ("mac", 4)}
 
@@ -82,6 +82,6 @@ def test_value_classes_and_shapes(spark):
     values = {"": "empty", "changeme": "placeholder/example/redacted", "-----BEGIN RSA KEY": "private_key/cert_material", "10.1.2.3": "ip_address", "d41d8cd98f00b204e9800998ecf8427e": "hex_hash/checksum(len32)", "MY_NAME": "env_var_name(no_value)", "1234567": "numeric_id", "'https://u:p@h'": "url/connection_string", "abc": "short/other"}
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", T.value_class(F.col("v")).alias("c")).collect()
     assert {r.v: r.c for r in rows} == values
-    shapes = {"ghp_abc": "vendor:s:lo", "0123456789abcdef": "hexlo:s:hi", "1111": "digits:s:lo", "a b": "mixed:s:lo"}
+    shapes = {"ghp_abc": "vendor:s:lo", "0123456789abcdef": "hexlo:s:md", "1111": "hexlo:s:lo", "a b": "mixed:s:lo"}
     rows = spark.createDataFrame([(v,) for v in shapes], "v string").select("v", T.shape(F.col("v")).alias("c")).collect()
     assert {r.v: r.c for r in rows} == shapes
