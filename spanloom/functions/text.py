@@ -8,28 +8,43 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 
-def matches(text: Column, pattern: str, lead: str = "", tail: str = "") -> Column:
-    """array<struct<start,end,value,before>> of all matches of pattern, in order, without a Python function.
+#: A noncharacter, put around matches.
+EDGE = "\ufdd0"
+MATCH = "array<struct<start:int,end:int,line:int,value:string,before:string>>"
 
-    Each match is taken with the gap before it, anchored to the end of the last match; offsets are running
-    sums of gap and match lengths. lead and tail are matched around the pattern but are no part of the value;
-    before is the character in front of the value. Groups inside pattern must not capture.
-    """
-    whole = rf"(?s)\G(.*?{lead})({pattern}){tail}"
-    gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    found = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
+
+def _newlines(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
+def _placed(pieces: Column) -> Column:
+    """Gap, match, gap, match... to matches with their places: running sums of lengths and line ends."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(False).alias("is_match"), F.lit("").alias("before"), F.array().cast(MATCH).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(1)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    # a plain search is far cheaper than one with gaps; most texts hold most patterns nowhere
-    found = F.when(text.rlike(f"{lead}(?:{pattern}){tail}"), F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
-    return F.coalesce(found, F.array().cast("array<struct<start:int,end:int,value:string,before:string>>"))
+        end = acc["at"] + F.length(x)
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), acc["line"].alias("line"), x.alias("value"), acc["before"].alias("before"))
+        out = F.when(acc["is_match"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), (acc["line"] + _newlines(x)).alias("line"), (~acc["is_match"]).alias("is_match"), F.right(x, F.lit(1)).alias("before"), out.alias("out"))
+
+    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+
+
+def matches(text: Column, pattern: str, lead: str = "", tail: str = "") -> Column:
+    """array<struct<start,end,line,value,before>> of all matches of pattern, in order, without a Python function.
+
+    One replacement puts EDGE around each match and a split at EDGE gives gaps and matches in turn. A text that
+    holds EDGE itself goes the slower way of extracting each match with the gap before it. lead is matched in
+    front of the value and tail (zero-width) behind it, neither is part of it; before is the character in front
+    of the value. Groups inside lead and pattern must not capture.
+    """
+    marked = F.regexp_replace(text, F.lit(f"({lead})({pattern}){tail}"), F.lit(f"$1{EDGE}$2{EDGE}"))
+    whole = F.lit(rf"(?s)\G(.*?{lead})({pattern}){tail}")
+    slow = F.flatten(F.zip_with(F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)), lambda g, m: F.array(g, m)))
+    held = F.contains(text, F.lit(EDGE))
+    # most texts hold most patterns nowhere, and a search costs less than a replacement
+    pieces = F.when(held, slow).when(text.rlike(f"{lead}(?:{pattern}){tail}"), F.split(marked, EDGE))
+    return F.coalesce(_placed(pieces), F.array().cast(MATCH))
 
 
 def line_of(text: Column, start: Column) -> Column:

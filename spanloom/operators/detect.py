@@ -17,10 +17,10 @@ def lookalikes(docs: DataFrame, keys: Sequence[str] = ("doc_id",), table=P.LOOKA
     hex strings are no lookalikes and hold no place. One pass over the texts for all categories."""
 
     def tagged(k: int, name: str, pattern: str) -> Column:
-        return F.transform(T.matches(F.col("text"), pattern), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"), F.lit(k).alias("priority"), F.lit(name).alias("category")))
+        return F.transform(T.matches(F.col("text"), pattern), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["line"].alias("line"), h["value"].alias("value"), F.lit(k).alias("priority"), F.lit(name).alias("category")))
 
     found = F.concat(*[tagged(k, name, p) for k, (name, p) in enumerate(table)])
-    rows = docs.select(*keys, "text", found.alias("hits")).filter(F.size("hits") > 0).select(*keys, "text", F.explode("hits").alias("h")).select(*keys, "h.*", T.line_of(F.col("text"), F.col("h.start")).alias("line"))
+    rows = S.placed(docs, found, keys)
     real = rows.filter(~F.col("category").isin(*P.HEX_CATEGORIES) | ~T.degenerate_hex(F.col("value")))
     out = S.first_wins(real.select(*keys, "start", "end", "line", "category", "priority"), ("priority", "start"), keys)
     return out.select(*keys, "start", "end", "line", "category", (F.col("end") - F.col("start")).alias("value_len"))
@@ -38,7 +38,7 @@ def raw_candidates(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
     text = F.col("text")
 
     def tagged(priority: int, detector: str, family: str, hits: Column) -> Column:
-        return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"), F.lit(detector).alias("detector"), F.lit(family).alias("family"), F.lit(priority).alias("priority")))
+        return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["line"].alias("line"), h["value"].alias("value"), F.lit(detector).alias("detector"), F.lit(family).alias("family"), F.lit(priority).alias("priority")))
 
     def plain(v: Column, least: int) -> Column:
         dots = F.length(v) - F.length(F.replace(v, F.lit("."), F.lit("")))
@@ -50,7 +50,7 @@ def raw_candidates(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
         tagged(0, "pem_private", "private_key", T.matches(text, P.PEM_PRIVATE)), tagged(1, "vendor_prefix", "vendor_token", T.matches(text, P.VENDOR)),
         tagged(2, "entropy", "keyworded_generic", keyed), tagged(3, "entropy", "generic_high_entropy", quoted),
     )
-    rows = docs.select(*keys, "text", every.alias("hits")).filter(F.size("hits") > 0).select(*keys, "text", F.explode("hits").alias("h")).select(*keys, "h.*", T.line_of(text, F.col("h.start")).alias("line"))
+    rows = S.placed(docs, every, keys)
     least = F.when(F.col("priority") == 2, 3.0).when(F.col("priority") == 3, 4.5).otherwise(0.0)
     return rows.filter(T.entropy(F.col("value")) >= least).select(*keys, "start", "end", "line", "value", "detector", "family", "priority")
 

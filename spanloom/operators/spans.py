@@ -12,9 +12,13 @@ from ..functions import text as T
 
 def find(docs: DataFrame, pattern: str, keys: Sequence[str] = ("doc_id",), lead: str = "", tail: str = "") -> DataFrame:
     """keys, start, end, line, value, before: a row for each match."""
-    hits = docs.select(*keys, "text", T.matches(F.col("text"), pattern, lead, tail).alias("hits")).filter(F.size("hits") > 0)
-    rows = hits.select(*keys, "text", F.explode("hits").alias("h"))
-    return rows.select(*keys, F.col("h.start").alias("start"), F.col("h.end").alias("end"), T.line_of(F.col("text"), F.col("h.start")).alias("line"), F.col("h.value").alias("value"), F.col("h.before").alias("before"))
+    return placed(docs, T.matches(F.col("text"), pattern, lead, tail), keys)
+
+
+def placed(docs: DataFrame, hits: Column, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys and the fields of each hit. An outer inline, as for an inner one the optimizer would first search all texts
+    once more to see whether they have hits."""
+    return docs.select(*keys, F.inline_outer(hits)).filter("start is not null")
 
 
 def overlaps(a: str, b: str) -> Column:

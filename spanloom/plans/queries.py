@@ -30,8 +30,18 @@ def query(sql: str | None = None):
     return register
 
 
+#: A table smaller than this may have fewer row groups than there are cores.
+SMALL_BYTES = 256 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts of a small one are dealt by doc_id first, since searching them keeps a core far busier than
+    moving them. Later windows and joins by doc_id use that dealing. A large table is searched where it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name != "documents" or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # see detect.with_external
+    return df.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 # ---- SQL fragments
@@ -95,9 +105,9 @@ def span_counts(spark, sf_dir):
     """Spans of three kinds by source: the flagship query, one pass over the texts."""
     docs = read(spark, sf_dir)
     kinds = (("ipv4", P.LOOKALIKES[7][1]), ("sha1", P.LOOKALIKES[3][1]), ("token", P.TOKEN))
-    tagged = lambda name, p: F.transform(T.matches(F.col("text"), p), lambda h: F.struct(F.lit(name).alias("category"), F.length(h["value"]).alias("len")))
+    tagged = lambda name, p: F.transform(T.matches(F.col("text"), p), lambda h: F.struct(h["start"].alias("start"), F.lit(name).alias("category"), F.length(h["value"]).alias("len")))
     found = F.concat(*[tagged(*k) for k in kinds])
-    rows = docs.select("source", F.explode(found).alias("x")).select("source", "x.*")
+    rows = spans.placed(docs, found, ("source",))
     return rows.groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("n_chars"), F.max("len").cast("long").alias("longest"))
 
 
