@@ -98,7 +98,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             jumps = written(jumps.join(then, ["file", "to"]).select("file", "run", F.col("to2").alias("to"), F.col("entry2").alias("entry")), "warc-jumps")
     real = candidates.join(reached, ["file", "run"]).filter("at >= entry and next <= size")
     single = real.filter("digest is not null").select("file", F.col("at").alias("offset"), "head", F.col("length").alias("block_bytes"), F.col("digest").alias("block_digest"))
-    if most <= 1:
+    if real.filter("digest is null").isEmpty():
         return single
 
     # the pieces of records that hold version lines: from a record's piece to the one before its successor
