@@ -7,7 +7,8 @@ document finds all pieces; around each hit, Myers' bit-parallel algorithm verifi
 in blocks of BLOCK_CHARS, each a pass of its own, so that an automaton has a bounded size whatever the benchmark's.
 
 Defined results: null and blank items leak nowhere, null texts leak nothing; items with one text are found each;
-rows with one doc_id each give their own result rows; empty tables give no rows; other columns, whatever their
+rows with one doc_id each give their own result rows; items with a null item_id have no result rows, but the
+pipeline's stage judges by texts alone and drops what leaks them, whatever the doc_ids; empty tables give no rows; other columns, whatever their
 names, take no part.
 """
 
@@ -114,14 +115,13 @@ class Finder:
 
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, distance, end (in the normalized text): a row for each document and item it leaks."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and trim(text) <> ''")
+def _found(texts: DataFrame, items: DataFrame, rate: float, block_chars: int) -> DataFrame:
+    """texts: k1, k2 (a key), text; items: item_id, text, no nulls. Gives k1, k2, item_id, distance, end."""
+    spark = texts.sparkSession
+    items = items.filter("trim(text) <> ''")
     sizes = written(items.select("item_id", F.length("text").cast("long").alias("n")).groupBy("item_id").agg(F.sum("n").alias("n")), "item-sizes")
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_chars))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     out = None
     for k in range(blocks):
         # a block of bounded size: items are dealt by hash over total / block_chars blocks
@@ -131,16 +131,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             finder = Finder(block.value, rate)
             for batch in batches:
-                rows = [(d, *leak) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for leak in finder.leaks(normal(t.as_py()))]
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "distance", "end"])
+                rows = [(j, d, *leak) for j, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for leak in finder.leaks(normal(t.as_py()))]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k1", "k2", "item_id", "distance", "end"])
 
-        found = texts.mapInArrow(run, "doc_id long, item_id long, distance long, end long")
+        found = texts.mapInArrow(run, "k1 long, k2 long, item_id long, distance long, end long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, item_id, distance, end (in the normalized text): a row for each document and item it leaks."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "text").filter("text is not null")
+    return _found(texts, items, rate, block_chars).select(F.col("k1").alias("doc_id"), "item_id", "distance", "end")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs but for those that leak an item (by doc_id; rows with a null doc_id stay)."""
-    leaking = written(find_leaks(docs, benchmark, rate).select("doc_id").distinct(), "leaking")
-    return docs.join(few(leaking), "doc_id", "left_anti")
+    """docs but for those whose text leaks an item; the ids of either may be null or repeated."""
+    items = benchmark.select(F.xxhash64("text").alias("item_id"), "text")
+    keyed = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    texts = keyed.filter("text is not null").select(F.col("_h1").alias("k1"), F.col("_h2").alias("k2"), "text")
+    leaking = written(_found(texts, items, rate, BLOCK_CHARS).select(F.col("k1").alias("_h1"), F.col("k2").alias("_h2")).distinct(), "leaking")
+    return keyed.join(few(leaking), ["_h1", "_h2"], "left_anti").select(*docs.columns)
