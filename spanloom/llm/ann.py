@@ -6,7 +6,8 @@ introduces to each other its neighbours and the nodes it is a neighbour of (new
 either kind that hashes choose), by a join that brings the members' vectors to the node; pairs better than what
 either has become its neighbours. Rounds end when few pairs are new. A query starts from its own node's
 neighbours and expands the best nodes not expanded yet, EXPAND in each of SEARCH_ROUNDS joins with the
-graph; the best POOL found stay. The best of these get their exact inner product, in double precision on the
+graph; the best POOL found stay. All this works on unit vectors in half floats with their norms beside them, so that
+vectors of any norms are told apart. The best of these get their exact inner product, in double precision on the
 original vectors, and their nodes' members are ranked. The work grows in proportion to the rows: blocks of
 nodes and windows have fixed sizes, and so have a node's neighbours, a round's members and a query's pool.
 
@@ -46,10 +47,26 @@ def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    """Rows of half floats as float32."""
-    data = b"".join(x.as_buffer() for x in column) if len(column) else b""
-    return np.frombuffer(data, np.float16).astype(np.float32).reshape(len(column), -1)
+def _packed(x: np.ndarray, norm: np.ndarray) -> list[bytes]:
+    """Rows of a norm (double) and the unit vector (half floats)."""
+    return [n.tobytes() + v.tobytes() for n, v in zip(norm, (x / norm[:, None]).astype(np.float16), strict=True)]
+
+
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as float32, and norms, of packed rows."""
+    if not len(column):
+        return np.zeros((0, 0), np.float32), np.zeros(0)
+    data = np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint8).reshape(len(column), -1)
+    return data[:, 8:].copy().view(np.float16).astype(np.float32), data[:, :8].copy().view(np.float64).ravel()
+
+
+def _sim(cosine: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner product's 16th root with its sign: in the same order, and within a float's range whatever the norms."""
+    s = cosine * a * b
+    root = np.abs(s)
+    for _ in range(4):
+        np.sqrt(root, out=root)
+    return np.copysign(root, s).astype(np.float32)
 
 
 def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
@@ -112,7 +129,7 @@ def _start(nodes: DataFrame, dim: int, tree: int, parts: int) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(1000 + tree).standard_normal((dim, 24)).astype(np.float32)
         for batch in batches:
-            x = _vectors(batch.column(1))
+            x, _ = _vectors(batch.column(1))
             sign = (x @ planes > 0) if len(x) else np.zeros((0, 24), bool)
             yield pa.RecordBatch.from_arrays([pa.array(sign @ (1 << np.arange(23, -1, -1)).astype(np.int64)), batch.column(0), batch.column(1)], ["code", "id", "v"])
 
@@ -129,8 +146,8 @@ def _start(nodes: DataFrame, dim: int, tree: int, parts: int) -> DataFrame:
             out = []
             for at in range(0, whole, WINDOW):
                 part = table.slice(at, min(WINDOW, whole - at)).combine_chunks()
-                ids, x = part.column("id").to_numpy(), _vectors(part.column("v"))
-                m = x @ x.T
+                ids, (x, norm) = part.column("id").to_numpy(), _vectors(part.column("v"))
+                m = _sim(x @ x.T, norm[:, None], norm[None])
                 np.fill_diagonal(m, -np.inf)
                 k = min(K, len(ids) - 1)
                 if k > 0:
@@ -196,14 +213,14 @@ def _introduced(graph: DataFrame, turn: int, parts: int) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "center"):
             center, ids, new, least = (t.column(c).to_numpy() for c in ("center", "id", "new", "least"))
-            x = _vectors(t.column("v").combine_chunks() if not isinstance(t.column("v"), pa.ChunkedArray) else pa.concat_arrays(t.column("v").chunks))
+            x, norm = _vectors(t.column("v").combine_chunks() if not isinstance(t.column("v"), pa.ChunkedArray) else pa.concat_arrays(t.column("v").chunks))
             first = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1])))
             out = []
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(center)], strict=True):
                 fresh = a + int(np.searchsorted(-new[a:b], 0))  # new ones come first
                 if fresh == a or b - a < 2:
                     continue
-                m = x[a:fresh] @ x[a:b].T
+                m = _sim(x[a:fresh] @ x[a:b].T, norm[a:fresh, None], norm[None, a:b])
                 p, q = np.nonzero((m > least[a:fresh, None]) | (m > least[None, a:b]))
                 s, p, q = m[p, q], p + a, q + a
                 out += [(ids[p], ids[q], s, least[p]), (ids[q], ids[p], s, least[q])]
@@ -274,10 +291,10 @@ def _search(graph: DataFrame, asked: DataFrame, count: int) -> DataFrame:
         n, nb = _flat(graph_part.column("nb"))
         starts = np.cumsum(n) - n
         vs = graph_part.column("vs").combine_chunks()
-        x = _vectors((pa.concat_arrays(vs.chunks) if isinstance(vs, pa.ChunkedArray) else vs).flatten())
+        x, norm = _vectors((pa.concat_arrays(vs.chunks) if isinstance(vs, pa.ChunkedArray) else vs).flatten())
         want, q, floor = (asked_part.column(c).to_numpy() for c in ("id", "q", "floor"))
         v = asked_part.column("v").combine_chunks()
-        qv = _vectors(pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v)
+        qv, qnorm = _vectors(pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v)
         place = o[np.minimum(np.searchsorted(ids[o], want), len(o) - 1)]
         found = ids[place] == want
         out = []
@@ -287,7 +304,7 @@ def _search(graph: DataFrame, asked: DataFrame, count: int) -> DataFrame:
             m = n[place[rows]]
             at = np.repeat(starts[place[rows]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
             r = np.repeat(rows, m)
-            s = np.einsum("ij,ij->i", x[at], qv[r])
+            s = _sim(np.einsum("ij,ij->i", x[at], qv[r]), norm[at], qnorm[r])
             good = (s > floor[r]) & (nb[at] != q[r])
             out.append((q[r][good], nb[at][good], s[good]))
         u, w, s = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -346,8 +363,8 @@ def nearest(vectors: DataFrame, is_query=None, k: int = 20, id_col: str = "vec_i
 
     def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = (_flat(b.column(1))[1].astype(np.float64).reshape(-1, dim) / largest).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "v"])
+            x = _flat(b.column(1))[1].astype(np.float64).reshape(-1, dim) / largest
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_packed(x, np.linalg.norm(x, axis=1)), pa.binary())], ["id", "v"])
 
     nodes = written(classes.select("id", "embedding").mapInArrow(half, "id long, v binary"), "ann-nodes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 32768))
