@@ -17,6 +17,10 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-")
+    """A new path in the folder that spark.checkpoint.dir names; a local one only where it is unset and the master local."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spanloom-")
     return f"{at.rstrip('/')}/spanloom/{name}-{uuid.uuid4().hex}"
