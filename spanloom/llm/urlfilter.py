@@ -1,8 +1,8 @@
 """URL filters as a sort-merge range join, with DataFrame operations alone.
 
 A canonical key is the reversed host followed by the path: rule example.com/en/7 has the key
-`com.example/en/7`, and what it covers on that host is the interval from this key to the same key with the
-highest code point behind it. A rule covers subdomains too, so a url has one key for each of its host's
+`com.example/en/7`, and what it covers on that host is the interval from this key to the same key with a byte
+behind it that no UTF-8 text has (keys are compared as bytes). A rule covers subdomains too, so a url has one key for each of its host's
 levels (com, com.example, com.example.blog). Rule keys and url keys of a level are sorted together and swept
 once. A rule's start pushes it on the stack of active rules and its end pops it, which uncovers the rule it
 is nested in; so start events carry the rule and end events the one around it, and the last event before a
@@ -33,7 +33,7 @@ RULES = (
 )
 KEYS_PER_RUN = 512  # or four times the level's rules, so that copies of rules stay fewer than keys
 SMALL_RULES = 20_000
-TOP = "\U0010ffff"
+TOP = "FF"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -55,18 +55,19 @@ def _events(rules: DataFrame) -> DataFrame:
     outer = at.select("level", F.col("path").alias("outer_path"), F.struct(F.length("path").alias("n"), "host", "path", "action").alias("outer"))
     around = nested.join(outer, ["level", "outer_path"]).groupBy("level", "path").agg(F.max("outer").alias("outer"))
     at = at.join(around, ["level", "path"], "left")
-    key = F.concat("level", "path")
+    key = F.concat("level", "path").cast("binary")
     here = F.struct(F.col("host"), F.col("path"), F.col("action"))
     there = F.struct(F.col("outer.host").alias("host"), F.col("outer.path").alias("path"), F.col("outer.action").alias("action"))
     start = at.select("level", key.alias("key"), here.alias("top"))
-    return start.unionByName(at.select("level", F.concat(key, F.lit(TOP)).alias("key"), there.alias("top"))).withColumn("kind", F.lit(0))
+    return start.unionByName(at.select("level", F.concat(key, F.unhex(F.lit(TOP))).alias("key"), there.alias("top"))).withColumn("kind", F.lit(0))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict. rules: host, path, action."""
     spark = pages.sparkSession
     if rules is None:
-        rules = spark.createDataFrame(list(RULES), "host string, path string, action string")
+        rule = lambda host, path, action: F.struct(F.lit(host).alias("host"), F.lit(path).alias("path"), F.lit(action).alias("action"))
+        rules = spark.range(1).select(F.inline(F.array(*[rule(*r) for r in RULES])))
     rules = rules.filter("host is not null and path is not null").groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.max("action").alias("action"))
     few = rules.limit(SMALL_RULES + 1).count() <= SMALL_RULES
     events = _events(rules)
@@ -80,7 +81,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
     levels = levels.join(F.broadcast(ruled) if few else ruled, "level")
     counts = levels.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / F.max("keys")).cast("int").alias("runs"))
     counts = F.broadcast(counts) if few else counts  # no more rows than rules
-    keyed = levels.join(counts, "level").select("level", F.pmod(F.xxhash64("page_id", "url"), "runs").cast("int").alias("run"), F.concat("level", "path").alias("key"), F.lit(1).alias("kind"), "page_id", "url")
+    keyed = levels.join(counts, "level").select("level", F.pmod(F.xxhash64("page_id", "url"), "runs").cast("int").alias("run"), F.concat("level", "path").cast("binary").alias("key"), F.lit(1).alias("kind"), "page_id", "url")
     copied = events.join(counts, "level").select("level", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), "key", "kind", "top")
 
     swept = Window.partitionBy("level", "run").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -99,3 +99,9 @@ def test_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
     few = ann.nearest(spark.createDataFrame(rows[:3], schema)).collect()
     assert sorted((r["rank"], r.vec_id) for r in few) == [(1, 1), (2, 2)] or [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == [2, 1]
+
+
+def test_paths_with_the_highest_code_points(spark):
+    urls = ["http://a.com/en/\U0010ffffx", "http://a.com/en/￿", "http://example.com/en/7\U0010ffff\U0010ffff", "http://a.com/en\U0010ffff"]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: ("com/en/", "block"), 1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: (None, "allow")}
