@@ -6,8 +6,8 @@ start when it reaches the end. Positions come from distributed prefix sums: buck
 first digits of the key, so a source of any size spreads over many) are summed, the sums are accumulated
 over the few buckets of a source, and only within a bucket are rows accumulated one by one.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in order; a null
-doc_id has a key as any other; repeated rows count as often as they occur; an empty table gives no rows;
+Defined results: a null text has size 0; a null source is a source of its own, last in order; a row with a
+null doc_id has the key of its text; rows with one doc_id follow each other by size, then by text; repeated rows count as often as they occur; an empty table gives no rows;
 other columns, whatever their names, take no part.
 """
 
@@ -56,10 +56,12 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), weights=(3, 1, 2),
     """doc_id, source, the carried columns, size, source_size, target, taken, and _from: where in the
     source's row of words the document starts. carry: columns of docs to keep in the result."""
     kept = [F.col(c) for c in dict.fromkeys(("doc_id", "source", *carry))]
-    sized = docs.select(*kept, word_count(F.col("text")).alias("size"))
+    by_id = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    tie = F.xxhash64("text") if carry else F.lit(0).cast("long")  # without texts in the result their order is no matter
+    sized = docs.select(*kept, word_count(F.col("text")).alias("size"), by_id.alias("_key"), tie.alias("_tie"))
     if not carry:
         sized = written(sized, "sizes")
-    sized = sized.withColumn("_sk", _source_key(F.col("source"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    sized = sized.withColumn("_sk", _source_key(F.col("source")))
     rows, digits = sized.count() if not carry else docs.count(), 1
     while 16**digits * ROWS_PER_BUCKET < rows:
         digits += 1
@@ -69,7 +71,7 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), weights=(3, 1, 2),
     sums = sums.withColumn("_start", F.coalesce(F.sum("_in").over(Window.partitionBy("_sk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = sums.join(source_targets(sums.withColumnRenamed("_in", "size"), weights, share, cap), "_sk").select("_sk", "_bucket", "_start", "source_size", "target")
     placed = written(placed, "buckets")
-    rows_before = Window.partitionBy("_sk", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows_before = Window.partitionBy("_sk", "_bucket").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.join(placed, ["_sk", "_bucket"]).withColumn("_from", F.col("_start") + F.coalesce(F.sum("size").over(rows_before), F.lit(0)))
     budget = F.floor("target").cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
@@ -92,7 +94,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM {docs}
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM {docs}
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM sized GROUP BY source
 ), weighed AS (
@@ -106,7 +108,7 @@ WITH sized AS (
   SELECT source, source_size, coalesce(least(cap, w * max(CASE WHEN ratio > level THEN level END) OVER ()), 0.0::DOUBLE) AS target FROM levels
 ), placed AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
     CAST(floor(t.target) AS BIGINT) AS budget
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), rounds AS (
