@@ -278,9 +278,8 @@ def _send_grams(length: int, groups: int):
         if not docs.num_rows:
             return _rows([])
         group, token, _ = _tokens(Chunk(docs, side).blocks(length)[3], groups)
-        cuts = np.searchsorted(group, np.arange(groups + 1))
-        chunk = docs.column("chunk")[0].as_py()
-        return _rows([(g, chunk, MASK, None, token[a:b].tobytes(), None, None, None) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+        chunk, first = docs.column("chunk")[0].as_py(), np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[: len(group)]
+        return _rows([(int(group[a]), chunk, MASK, None, token[a:b].tobytes(), None, None, None) for a, b in zip(first, [*first[1:], len(group)], strict=True)])
 
     return run
 
@@ -320,11 +319,10 @@ def _send_blocks(length: int, gram_groups: int, groups: int):
         doc, at, windows, hashes = own.blocks(length)
         group, token, which = _tokens(hashes, gram_groups)
         shared = np.zeros(len(token), bool)
-        cuts = np.searchsorted(group, np.arange(gram_groups + 1))
         masks = _only(side, MASK)
-        for g, mask in zip(masks.column("n").to_pylist(), masks.column("a").to_pylist(), strict=True):
-            n = cuts[g + 1] - cuts[g]
-            shared[cuts[g] : cuts[g + 1]] = np.unpackbits(np.frombuffer(mask, np.uint8), count=n).astype(bool)
+        of = np.array(masks.column("n").to_pylist(), np.int64)
+        for a, b, mask in zip(np.searchsorted(group, of), np.searchsorted(group, of, side="right"), masks.column("a").to_pylist(), strict=True):
+            shared[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a).astype(bool)
         # grams of two documents of this chunk
         least, most = np.full(len(token), len(own.texts)), np.full(len(token), -1)
         np.minimum.at(least, which, doc)
