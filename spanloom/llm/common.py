@@ -12,12 +12,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where it is unset (tests), a local one."""
+    """The shared folder named in spark.checkpoint.dir; where it is unset (tests), a local one, on a local master alone."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_at.isDefined():
             at = set_at.get()
+        elif not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
             at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -28,15 +30,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again."""
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cuts lineage: writes df as a table in the shared folder and reads it again. The table goes when the driver ends,
+    or, where it is passed as instead_of, as soon as the one after it is there."""
     spark, schema = df.sparkSession, df.schema
     # sides of a union that are partitioned alike may come in different numbers of partitions at run time, which
     # Spark 4.1 then fails to merge
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    if instead_of is not None:
+        files, place = _file_system(spark, instead_of._written_at)
+        files.delete(place, True)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +74,14 @@ BROADCAST_ROWS = 100_000
 def few(df: DataFrame) -> DataFrame:
     """Broadcast where a count proves it small, else as it is. For slim rows of a written table."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+HOT_ROWS = 4096
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with keyed, a written table with one row for each key and how many rows have it. Keys with many
+    rows are joined apart from the others, by a broadcast (there is one at most for each HOT_ROWS rows, and their
+    number is checked), so that no task gets all rows of one."""
+    hot = F.col(count) >= HOT_ROWS
+    return rows.join(few(keyed.filter(hot)), key).unionByName(rows.join(keyed.filter(~hot), key))

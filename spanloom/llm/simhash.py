@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 from .graph import components
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -160,10 +160,11 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (long), fingerprint (hex), component_id."""
     made = written(fingerprints(docs, words), "fingerprints")
-    classes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    classes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
     joined = components(links(classes.select("fp")))
     linked = joined.join(classes, joined["node"] == classes["fp"]).select("fp", "least", "component")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "component").select("fp", "component_id")
-    classes = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return made.join(classes, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    joined = join_counted(made, written(classes, "fingerprint-components"), "fp", "n")
+    return joined.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
