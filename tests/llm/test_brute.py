@@ -198,6 +198,9 @@ def test_ordinal_fit():
 
 
 def test_licence_cases(spark):
-    texts = ["Licensed under the Apache License, Version 2.0.", "cc by cc-by CC_BY", "all rights, reserved!", "General Public Licenses", "released under the MIT license", "x" * 10]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights"
+    texts = ["Licensed under the Apache License, Version 2.0.", "cc by cc-by CC_BY", "all rights, reserved!", "General Public Licenses", "released under the MIT license", "x" * 10, "words before " + mit + " and behind", "mit license", "MIT LICENSE\u212a hereby granted free of charge", "license " * 200_000 + "released under the mit license"]
     got = [(r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got == [(0, None, None, "", "apache-2.0"), (3, 0, 4, "cc-by", "cc-by"), (1, 0, 0, "reserved", "reserved"), (0, None, None, "", ""), (0, None, None, "", "mit"), (0, None, None, "", "")]
+    none = (0, None, None, "", "")
+    named = lambda label: (0, None, None, "", label)
+    assert got == [named("apache-2.0"), (3, 0, 4, "cc-by", "cc-by"), (1, 0, 0, "reserved", "reserved"), none, named("mit"), none, named("mit-text"), none, none, named("mit")]
