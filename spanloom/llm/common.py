@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,3 +85,13 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> Dat
     number is checked), so that no task gets all rows of one."""
     hot = F.col(count) >= HOT_ROWS
     return rows.join(few(keyed.filter(hot)), key).unionByName(rows.join(keyed.filter(~hot), key))
+
+SALTS = 64
+
+
+def sampled(rows: DataFrame, by: str, most: int, order: list) -> DataFrame:
+    """The first `most` rows of each value of `by` in an order that starts with a hash, with nth. Each of SALTS parts of a
+    value picks its own first, so that the last window holds SALTS * most rows of a value, whatever the input."""
+    part = Window.partitionBy(by, "_salt").orderBy(*order)
+    few_ = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).withColumn("nth", F.row_number().over(part)).filter(F.col("nth") <= most)
+    return few_.drop("_salt").withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("nth") <= most)

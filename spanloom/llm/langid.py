@@ -4,8 +4,8 @@ A text's byte n-grams (2 to 4 bytes, A-Z lower-cased) are hashed into BUCKETS em
 text's embeddings goes through a linear layer and a softmax. As both are linear, prediction uses the product
 of the two, a row of scores for each bucket, so that a text costs one look-up for each n-gram. Training
 takes PER_LANG labelled documents of each language at most (those with the smallest hashes; this bounds what
-the driver holds), each also as a snippet of a few words, and sets a fifth aside: on these the softmax's
-temperature is fitted (calibration), and then the rejection threshold, below which errors outweigh
+the driver holds), each also as a snippet of a few words, and sets a fifth aside, near copies of a document always
+with it: on these the softmax's temperature is fitted (calibration), and then the rejection threshold, below which errors outweigh
 KEEP times the correct documents lost, or half of the lowest score of a correct one where none errs.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and is rejected; with no labelled
@@ -20,12 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+from .simhash import fingerprint, tree_links
+
 BUCKETS_LOG2, DIM, ORDERS = 15, 16, (2, 3, 4)
 PER_LANG, EPOCHS, RATE = 400, 6, 8.0
-KEEP = 50
+KEEP, COPY_BITS = 50, 10
 SLICE = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -129,39 +132,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _folds(fps: list[int], folds: int = 5) -> list[int]:
+    """A fold for each fingerprint; near copies are in one."""
+    names, of = np.unique(np.array(fps, np.int64), return_inverse=True)
+    root = np.arange(len(names))
+    for a, b in tree_links(names.view(np.uint64), bits=COPY_BITS):
+        root[root == max(root[a], root[b])] = min(root[a], root[b])
+    return (names[root[of]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(folds)).tolist() if len(names) else []
+
+
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Fits on the labelled rows (doc_id, text, lang) of docs, per_lang of each language at most."""
     labelled = docs.filter("doc_id is not null and text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang)
-    # per_lang rows of each language: small, and no copy of a text in it
-    chosen = chosen.select("doc_id", "lang", "nth").dropDuplicates(["doc_id", "lang"])
-    texts = labelled.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(chosen, ["doc_id", "lang"])
+    chosen = sampled(labelled.select("doc_id", "lang").distinct(), "lang", per_lang, [F.xxhash64("doc_id", F.lit("sample")), "doc_id"])
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # per_lang rows of each language
+    texts = texts.groupBy("doc_id", "lang", "nth").agg(F.min("text").cast("binary").alias("text"))  # a doc_id may stand on any number of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"lang": [], "nth": [], "idx": [], "share": []}
+            out = {"lang": [], "nth": [], "idx": [], "share": [], "fp": []}
             for lang, text, nth in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 whole = np.frombuffer(text.as_buffer(), np.uint8)
-                words = text.as_buffer().to_pybytes().split()
+                words, fp = text.as_buffer().to_pybytes().split(), fingerprint(text.as_buffer().to_pybytes())
                 at = nth * 7919 % max(1, len(words))
                 snippet = np.frombuffer(b" ".join(words[at : at + 2 + nth % 7]), np.uint8)
                 for part in (whole, snippet):
                     idx, share = features(part)
                     if len(idx):
-                        for k, v in zip(out, (lang, nth, idx.tobytes(), share.tobytes()), strict=True):
+                        for k, v in zip(out, (lang, nth, idx.tobytes(), share.tobytes(), fp), strict=True):
                             out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["nth"], pa.int32()), pa.array(out["idx"], pa.binary()), pa.array(out["share"], pa.binary())], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["nth"], pa.int32()), pa.array(out["idx"], pa.binary()), pa.array(out["share"], pa.binary()), pa.array(np.array(out["fp"], np.uint64).view(np.int64))], list(out))
 
-    sample = texts.select("lang", "text", "nth").mapInArrow(run, "lang string, nth int, idx binary, share binary").collect()
-    sample = sorted((r["lang"], r["nth"], bytes(r["idx"]), bytes(r["share"])) for r in sample)
+    sample = texts.select("lang", "text", "nth").mapInArrow(run, "lang string, nth int, idx binary, share binary, fp long").collect()
+    sample = sorted((r["lang"], r["nth"], bytes(r["idx"]), bytes(r["share"]), r["fp"]) for r in sample)
     langs = sorted({r[0] for r in sample})
-    rows = [(nth, (np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), langs.index(lang))) for lang, nth, i, s in sample]
+    fold = _folds([r[4] for r in sample])
+    rows = [(k, (np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), langs.index(lang))) for k, (lang, _, i, s, _) in zip(fold, sample, strict=True)]
     if not rows:
         return Model([], np.zeros((1 << BUCKETS_LOG2, 0)), np.zeros(0))
-    scores, bias = train([r for nth, r in rows if nth % 5] or [r for _, r in rows], langs)
+    scores, bias = train([r for k, r in rows if k] or [r for _, r in rows], langs)
     model = Model(langs, scores.astype(np.float32), bias)
-    calibrate(model, [r for nth, r in rows if nth % 5 == 0])
+    calibrate(model, [r for k, r in rows if not k])
     return model
 
 
