@@ -1,18 +1,23 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Grades 0 to 3: labelled clean documents are 0; labelled toxic ones are 1 to 3, by thirds of how many of their
-words tell toxic from clean documents. One weight vector is shared by the three ordered thresholds,
-P(grade >= k) = sigmoid(w.x - t_k), so a word moves all grades alike. Features are the log counts of telling words
-and beginnings of words (4 to 6 bytes). Candidates are the MOST_FEATURES of them whose document frequencies among toxic and clean documents differ by most,
-MIN_Z standard errors at least; of these, one after the other is taken that best tells those toxic documents
-that have fewer than COVER of those taken before (and is not in SAME of the documents of one of them), so that the other words of a much-copied toxic document stay out. Fitting takes PER_CLASS labelled documents of either kind (those with the smallest hashes); all
-documents are scored, over their whole texts. The output is the expected severity, the sum of P(grade >= k),
-the most likely grade, and whether w.x is past the cut at which the sample has the fewest errors (a clean
-document flagged counts as FALSE_ALARM missed ones).
-
-Defined results: a null text has no words and gets what the thresholds alone give; without labels of both kinds
-severity is 0; a document with more than one label counts with the larger; null doc_ids and repeated rows
-each get a row; an empty table gives no rows; other columns, whatever their names, take no part.
+Grades 0 to 3: labelled clean documents are 0; labelled toxic ones are 1 to 3, by thirds of how toxic they look to a
+model fitted on the other half of the sample (two folds, near copies in one), so that no document's grade comes from
+a model that has seen it. One weight vector is shared by the three ordered thresholds, P(grade >= k) = sigmoid(w.x - t_k), so a
+word moves all grades alike. Features are the log counts of telling words and beginnings of words (4 to 6 bytes).
+Candidates are the MOST_FEATURES whose document frequencies among toxic and clean documents differ by most standard
+errors, MIN_Z at least, in either direction. Of those that tell toxic documents, one after the other is taken that
+best tells those toxic documents that have fewer than COVER of those taken before (and is not in SAME of the
+documents of one of them), so that the other words of a much-copied toxic document stay out; of those that tell
+clean documents, the MOST_CLEAN best. Fitting takes PER_CLASS labelled documents of either kind (those with the
+smallest hashes), all features on all of them; all documents are scored, over their whole texts. The output is the
+expected severity, the sum of P(grade >= k), the most likely grade, and whether w.x is past the cut at which the
+sample has the fewest errors (a clean document flagged counts as FALSE_ALARM missed ones).
+
+Defined results: a null text has no words and gets what the thresholds alone give. Without labels of both kinds
+there is nothing to learn: severity and grade are 0 and toxic is false. With both kinds but no telling feature, the
+model is its thresholds: every document gets the sample's mean severity, and toxic is false. A document with more
+than one label counts with the larger, one with more than one text with the smallest; null doc_ids and repeated
+rows each get a row; an empty table gives no rows; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -21,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
 from .simhash import fingerprint, tree_links
 
-PER_CLASS, MIN_Z, MIN_DOCS, MOST_FEATURES, COVER, GRADES, COPY_BITS, SAME, FALSE_ALARM = 1500, 4.0, 5, 512, 3, 4, 10, 0.8, 5
+PER_CLASS, MIN_Z, MIN_DOCS, MOST_FEATURES, MOST_CLEAN, COVER, GRADES, COPY_BITS, SAME, FALSE_ALARM = 1500, 4.0, 5, 512, 16, 3, 4, 10, 0.8, 5
 _BLANKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 LOWER_WORDS = bytes(ord(chr(c).lower()) if 65 <= c <= 90 else c for c in _BLANKS)
 
@@ -63,10 +69,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, l2: float = 1e-3, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the cumulative-link likelihood. Thresholds are the first one and
     positive steps from it, so they stay in order."""
-    n, k = x.shape[1], GRADES - 1
+    n, k = x.shape[1], grades - 1
     p = np.concatenate((np.zeros(n), [1.0], np.zeros(k - 1)))
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
@@ -115,16 +121,19 @@ def best_cut(s: np.ndarray, toxic: np.ndarray) -> float:
     return float(cuts[int(np.argmin(errors))])
 
 
-def _counts(texts: DataFrame, vocabulary: list[bytes]) -> list[tuple[int, dict[int, int]]]:
+def _counts(texts: DataFrame, vocabulary: list[bytes]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """toxic, the text's fingerprint, counts: in a fixed order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(vocabulary)
         for batch in batches:
             found = [sorted(count(t.as_buffer().to_pybytes()).items()) for t in batch.column(1)]
             lists = [pa.array([[x[j] for x in f] for f in found], pa.list_(pa.int32())) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["toxic", "k", "n"])
+            fps = np.array([fingerprint(t.as_buffer().to_pybytes()) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(fps)], ["toxic", "k", "n", "fp"])
 
-    rows = texts.select("toxic", "text").mapInArrow(run, "toxic int, k array<int>, n array<int>").collect()
-    return sorted((r["toxic"], sorted(zip(r["k"], r["n"], strict=True))) for r in rows)
+    rows = texts.select("toxic", "text").mapInArrow(run, "toxic int, k array<int>, n array<int>, fp long").collect()  # of the sample
+    return sorted((r["toxic"], r["fp"], sorted(zip(r["k"], r["n"], strict=True))) for r in rows)
 
 
 def _without_copies(texts: DataFrame) -> DataFrame:
@@ -146,12 +155,28 @@ def _without_copies(texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(kept), "doc_id")  # no more rows than the sample
 
 
+def graded(x: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """0 for clean documents; for toxic ones 1 to 3, by thirds of what a model fitted on the other fold gives them."""
+    y = np.zeros(len(toxic), np.int64)
+    for k in (0, 1):
+        mine, other = fold == k, fold != k
+        if not (mine & toxic).any():
+            continue
+        if not (other & toxic).any() or not (other & ~toxic).any():
+            other = np.ones(len(toxic), bool)  # too few documents for two folds
+        w, _ = fit_ordinal(x[other], toxic[other].astype(np.int64), grades=2)
+        s = x[mine] @ w
+        cuts = np.quantile(s[toxic[mine]], [1 / 3, 2 / 3])
+        y[mine] = np.where(toxic[mine], 1 + (s > cuts[0]) + (s > cuts[1]), 0)
+    return y
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[bytes], np.ndarray, np.ndarray, float] | None:
-    """Telling features, weights, thresholds, the cut."""
+    """Telling features, weights, thresholds, the cut; none without labels of both kinds."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = marked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class)
-    texts = docs.filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows
+    chosen = sampled(marked, "toxic", per_class, [F.xxhash64("doc_id", F.lit("sample")), "doc_id"])
+    texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").cast("binary").alias("text"))  # a doc_id may stand on any number of rows
     texts = _without_copies(texts).select("toxic", "text").persist()
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,25 +192,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     rate = (F.col("a") + F.col("b")) / (whole["a"] + whole["b"])
     z = (F.col("a") / whole["a"] - F.col("b") / whole["b"]) / F.sqrt(rate * (1 - rate) * (1 / whole["a"] + 1 / whole["b"]))
     telling = per_word.filter((F.length("word") > 0) & (F.col("a") + F.col("b") >= MIN_DOCS) & (rate < 1)).withColumn("z", z).filter(F.abs("z") >= MIN_Z)
-    top = telling.filter("z > 0").orderBy(F.col("z").desc(), F.length("word"), "word").limit(MOST_FEATURES).collect()
-    candidates = [bytes(r["word"]) for r in top]
-    rows = _counts(texts, candidates)
+    ranked = lambda rows, most: [bytes(r["word"]) for r in rows.orderBy(F.abs("z").desc(), F.length("word"), "word").limit(most).collect()]
+    candidates, clean = ranked(telling.filter("z > 0"), MOST_FEATURES), ranked(telling.filter("z < 0"), MOST_CLEAN)
+    rows = _counts(texts, candidates + clean)
     texts.unpersist()
-    if not candidates:
-        return None
-    counts = np.zeros((len(rows), len(candidates)))
-    for i, (_, found) in enumerate(rows):
+    counts = np.zeros((len(rows), len(candidates) + len(clean)))
+    for i, (_, _, found) in enumerate(rows):
         for k, n in found:
             counts[i, k] = n
-    toxic = np.array([r[0] for r in rows])
-    taken = select_words(counts > 0, toxic == 1, [len(f) + 100 * (f[:1] == b"=") for f in candidates])
+    toxic = np.array([r[0] for r in rows]) == 1
+    taken = select_words(counts[:, : len(candidates)] > 0, toxic, [len(f) + 100 * (f[:1] == b"=") for f in candidates]) if candidates else []
+    taken += range(len(candidates), counts.shape[1])
     x = np.log1p(counts[:, taken])
-    load = counts[:, taken].sum(axis=1)
-    cuts = np.quantile(load[toxic == 1], [1 / 3, 2 / 3])
-    y = np.where(toxic == 1, 1 + (load > cuts[0]) + (load > cuts[1]), 0)
-    vocabulary = [candidates[k] for k in taken]
-    w, t = fit_ordinal(x, y)
-    return vocabulary, w, t, best_cut(x @ w, toxic == 1)
+    fold = np.array([r[1] for r in rows], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)
+    vocabulary = [(candidates + clean)[k] for k in taken]
+    w, t = fit_ordinal(x, graded(x, toxic, fold))
+    return vocabulary, w, t, best_cut(x @ w, toxic) if vocabulary else float("inf")
 
 
 def severity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
