@@ -7,9 +7,13 @@ either kind that hashes choose), by a join that brings the members' vectors to t
 either has become its neighbours. Rounds end when few pairs are new. A query starts from its own node's
 neighbours and expands the best nodes not expanded yet, EXPAND in each of SEARCH_ROUNDS joins with the
 graph; the best POOL found stay. All this works on unit vectors in half floats with their norms beside them, so that
-vectors of any norms are told apart. The best of these get their exact inner product, in double precision on the
+vectors of any norms are told apart. All of the pool get their exact inner product, in double precision on the
 original vectors, and their nodes' members are ranked. The work grows in proportion to the rows: blocks of
-nodes and windows have fixed sizes, and so have a node's neighbours, a round's members and a query's pool.
+nodes and windows have fixed sizes, and so have a node's neighbours, a round's members and a query's pool. A hub,
+which is a neighbour of very many nodes, gives SAMPLE of them to its round (chosen before they are moved), is a key that
+adaptive execution splits where its vector is joined to them, and in the search has its block's requests
+dealt over parts of REQUEST_BYTES. The parameters bound the work of an approximate search, whose recall is measured
+(README, tests); more rows need no more of anything but, for the same recall, a larger EXPAND or POOL.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
 dimension than the most frequent one, nor null vec_ids. Of rows with one vec_id the smallest vector counts.
@@ -28,10 +32,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few, written
 
 K, SAMPLE, ROUNDS, TREES, WINDOW, STOP = 24, 12, 6, 6, 256, 0.005
-EXPAND, SEARCH_ROUNDS, POOL, RESCORE, BLOCK = 150, 6, 600, 60, 1024
+EXPAND, SEARCH_ROUNDS, POOL, BLOCK, REQUEST_BYTES = 150, 6, 600, 1024, 64 << 20
 
 
 def _release(spark: SparkSession) -> None:
@@ -249,7 +253,7 @@ def build_graph(nodes: DataFrame, dim: int, count: int, parts: int, rounds: int
     none = {"nb": F.array().cast("array<long>"), "sim": F.array().cast("array<float>"), "fresh": F.array().cast("array<int>")}
     graph = written(_merged(nodes.withColumns(none), updates, 0, parts), "ann-graph")
     for turn in range(1, rounds + 1):
-        graph = written(_merged(graph, _introduced(graph, turn, parts), turn, parts), "ann-graph")
+        graph = written(_merged(graph, _introduced(graph, turn, parts), turn, parts), "ann-graph", instead_of=graph)
         _release(nodes.sparkSession)
         new = graph.agg(F.sum(F.aggregate("fresh", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
         if new < STOP * K * count:
@@ -257,7 +261,16 @@ def build_graph(nodes: DataFrame, dim: int, count: int, parts: int, rounds: int
     return graph
 
 
-def _search(graph: DataFrame, asked: DataFrame, count: int) -> DataFrame:
+def _dealt(near: DataFrame, todo: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both with part: blocks that more than `most` requests ask for are copied for parts of them."""
+    many = todo.groupBy("block").count().filter(F.col("count") > most).select("block", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    many = few(written(many, "ann-asked-often"))
+    todo = todo.join(many, "block", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    near = near.join(many, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return near, todo
+
+
+def _search(graph: DataFrame, asked: DataFrame, count: int, dim: int) -> DataFrame:
     """asked: q (a node). Gives q, ids, sims: its pool."""
     back = graph.select(F.col("id").alias("w"), F.posexplode("nb").alias("pos", "u")).select(F.col("u").alias("id"), F.col("w").alias("u"), "pos")
     nearest = Window.partitionBy("id").orderBy("pos", "u")
@@ -332,13 +345,17 @@ def _search(graph: DataFrame, asked: DataFrame, count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), vectors, _lists(offsets, pa.array(w)), _lists(offsets, pa.array(s.astype(np.float32))), _lists(offsets, pa.array((1 - flag).astype(np.int32)))], ["q", "v", "ids", "sims", "done"])
 
     schema = "q long, v binary, ids array<long>, sims array<float>, done array<int>"
+    most = max(1, REQUEST_BYTES // (2 * dim + 64))
+    all_at_once = state.count() * EXPAND <= most
     for _ in range(SEARCH_ROUNDS):
         todo = state.mapInArrow(requests, "id long, q long, floor float, v binary")
-        todo = todo.select(block, "id", "q", "floor", "v")
-        found = near.groupBy("block").cogroup(todo.groupBy("block")).applyInArrow(expand, UPDATES)
+        blocks_of, todo = near.withColumn("part", F.lit(0)), todo.select(block, "id", "q", "floor", "v").withColumn("part", F.lit(0))
+        if not all_at_once:
+            blocks_of, todo = _dealt(near, todo.drop("part"), most)
+        found = blocks_of.groupBy("block", "part").cogroup(todo.groupBy("block", "part")).applyInArrow(expand, UPDATES)
         rows = state.withColumn("own", F.lit(1)).unionByName(found.select(F.col("id").alias("q"), F.col("nb").alias("ids"), F.col("sim").alias("sims"), F.lit(0).alias("own")), allowMissingColumns=True)
         parts = max(1, int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        state = written(rows.repartition(parts, "q").sortWithinPartitions("q", "own").mapInArrow(gather, schema), "ann-pools")
+        state = written(rows.repartition(parts, "q").sortWithinPartitions("q", "own").mapInArrow(gather, schema), "ann-pools", instead_of=state)
         _release(graph.sparkSession)
     return state.select("q", "ids", "sims")
 
@@ -371,11 +388,11 @@ def nearest(vectors: DataFrame, is_query=None, k: int = 20, id_col: str = "vec_i
     graph = build_graph(nodes, dim, count, parts)
 
     queries = written(rows.filter(is_query).select("vec_id", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "ann-queries")
-    pools = _search(graph, queries.select("q").distinct(), count)
+    pools = _search(graph, queries.select("q").distinct(), count, dim)
     firsts = Window.partitionBy("h1", "h2").orderBy("vec_id")
     members = rows.select("h1", "h2", "vec_id").withColumn("nth", F.row_number().over(firsts)).filter(F.col("nth") <= k + 1)
     members = members.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).groupBy("id").agg(F.collect_list("vec_id").alias("members"))  # k + 1 at most
-    pairs = pools.select("q", F.explode(F.slice("ids", 1, RESCORE)).alias("id"))
+    pairs = pools.select("q", F.explode("ids").alias("id"))
     exact = pairs.join(classes.select("id", F.col("embedding").alias("b")), "id").join(classes.select(F.col("id").alias("q"), F.col("embedding").alias("a")), "q")
     score = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = exact.select("q", "id", score.alias("score")).join(members, "id").select("q", "score", F.explode("members").alias("vec_id"))
