@@ -47,13 +47,19 @@ def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Da
     files, place = _file_system(spark, path)
     files.deleteOnExit(place)
     if instead_of is not None:
-        files, place = _file_system(spark, instead_of._written_at)
-        files.delete(place, True)
+        discard(instead_of)
     out = spark.read.schema(schema).parquet(path)
     out._written_at = path
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, which frees their disk before the driver ends."""
+    for df in tables:
+        files, place = _file_system(df.sparkSession, df._written_at)
+        files.delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (long), fingerprint (hex), component_id."""
     made = written(fingerprints(docs, words), "fingerprints")
     classes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
-    joined = components(links(classes.select("fp")))
+    joined = written(components(links(classes.select("fp"))), "fingerprint-nodes")
     linked = joined.join(classes, joined["node"] == classes["fp"]).select("fp", "least", "component")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "component").select("fp", "component_id")
