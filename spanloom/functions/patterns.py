@@ -50,10 +50,10 @@ VALUE_CLASSES = (
     ("jwt", r"^ey[A-Za-z0-9_-]+\.ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+$"),
     ("url/connection_string", r"(?i)[a-z][a-z0-9+.-]*://"),
     ("uuid", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
-    ("ip_address", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"),
+    ("ip_address", r"^\d{1,3}(\.\d{1,3}){3}$"),
     ("mac_address", r"^([0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}$"),
 )
-ENV_NAME, NUMERIC_ID, BASE64_BLOB, HEX_BLOB = r"^[A-Z][A-Z0-9_]{3,}$", r"^[0-9]{5,}$", r"^[A-Za-z0-9+/=_-]+$", r"^[0-9a-fA-F]+$"
+ENV_NAME, NUMERIC_ID, BASE64_BLOB, HEX_BLOB = r"^[A-Z][A-Z0-9_]{3,}$", r"^\d{5,}$", r"^[A-Za-z0-9+/=_-]+$", r"^[0-9a-fA-F]+$"
 HASH_LENGTHS = (32, 40, 64, 128)
 
 # ---- Fixed values: source files and labels

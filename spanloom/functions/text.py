@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import patterns as P
 
@@ -11,39 +16,67 @@ from . import patterns as P
 #: A noncharacter, put around matches.
 EDGE = "\ufdd0"
 MATCH = "array<struct<start:int,end:int,line:int,value:string,before:string>>"
+#: Makes \\b, \\w, \\s and \\d mean what they mean in Unicode, on every Java release.
+UNICODE = "(?U)"
+#: Folds that build an array copy it at each step, so they run over blocks of so many elements.
+BLOCK = 128
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it and in whatever loops."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def has(value: Column, pattern: str) -> Column:
+    return value.rlike(UNICODE + pattern)
 
 
 def _newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
+def _prefix_sums(numbers: Column, first: Column) -> Column:
+    """first, and first with the numbers before each other one added. Quadratic in the array's length."""
+    return F.aggregate(numbers, F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def running(numbers: Column) -> Column:
+    """The sum of all numbers before each one, in time near the array's length."""
+    cut = lambda ns: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ns) - 1, F.lit(0)), F.lit(BLOCK)), lambda k: F.slice(ns, k + 1, F.lit(BLOCK)))
+    sums = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda t, x: t + x))
+    return let(let(numbers, cut), lambda bs: let(_prefix_sums(sums(bs), F.lit(0)), lambda firsts: F.flatten(F.transform(bs, lambda b, k: _prefix_sums(b, F.get(firsts, k))))))
+
+
 def _placed(pieces: Column) -> Column:
     """Gap, match, gap, match... to matches with their places: running sums of lengths and line ends."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(False).alias("is_match"), F.lit("").alias("before"), F.array().cast(MATCH).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), acc["line"].alias("line"), x.alias("value"), acc["before"].alias("before"))
-        out = F.when(acc["is_match"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (acc["line"] + _newlines(x)).alias("line"), (~acc["is_match"]).alias("is_match"), F.right(x, F.lit(1)).alias("before"), out.alias("out"))
+    def place(ps: Column) -> Column:
+        at, lines = running(F.transform(ps, F.length)), running(F.transform(ps, _newlines))
+
+        def rows(a: Column, n: Column) -> Column:
+            one = lambda j: F.struct(F.get(a, j).alias("start"), (F.get(a, j) + F.length(F.get(ps, j))).alias("end"), (F.get(n, j) + 1).alias("line"), F.get(ps, j).alias("value"), F.right(F.get(ps, j - 1), F.lit(1)).alias("before"))
+            return F.transform(F.sequence(F.lit(1), F.size(ps) - 1, F.lit(2)), one)
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+        return F.when(F.size(ps) > 1, let(at, lambda a: let(lines, lambda n: rows(a, n))))
+
+    return let(pieces, place)
 
 
 def matches(text: Column, pattern: str, lead: str = "", tail: str = "") -> Column:
-    """array<struct<start,end,line,value,before>> of all matches of pattern, in order, without a Python function.
+    """array<struct<start,end,line,value,before>> of all matches of pattern, in order, without a Python function, in
+    time near the length of the text. Character classes are those of Unicode.
 
     One replacement puts EDGE around each match and a split at EDGE gives gaps and matches in turn. A text that
     holds EDGE itself goes the slower way of extracting each match with the gap before it. lead is matched in
     front of the value and tail (zero-width) behind it, neither is part of it; before is the character in front
     of the value. Groups inside lead and pattern must not capture.
     """
-    marked = F.regexp_replace(text, F.lit(f"({lead})({pattern}){tail}"), F.lit(f"$1{EDGE}$2{EDGE}"))
-    whole = F.lit(rf"(?s)\G(.*?{lead})({pattern}){tail}")
+    marked = F.regexp_replace(text, F.lit(f"{UNICODE}({lead})({pattern}){tail}"), F.lit(f"$1{EDGE}$2{EDGE}"))
+    whole = F.lit(rf"{UNICODE}(?s)\G(.*?{lead})({pattern}){tail}")
     slow = F.flatten(F.zip_with(F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)), lambda g, m: F.array(g, m)))
     held = F.contains(text, F.lit(EDGE))
     # most texts hold most patterns nowhere, and a search costs less than a replacement
-    pieces = F.when(held, slow).when(text.rlike(f"{lead}(?:{pattern}){tail}"), F.split(marked, EDGE))
+    pieces = F.when(held, slow).when(text.rlike(f"{UNICODE}{lead}(?:{pattern}){tail}"), F.split(marked, EDGE))
     return F.coalesce(_placed(pieces), F.array().cast(MATCH))
 
 
@@ -53,8 +86,7 @@ def line_of(text: Column, start: Column) -> Column:
 
 
 def line_starts(text: Column) -> Column:
-    zero = F.array(F.lit(0))
-    return F.slice(F.aggregate(F.split(text, "\n"), zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1))), 1, F.size(F.split(text, "\n")))
+    return let(F.split(text, "\n"), lambda lines: running(F.transform(lines, lambda x: F.length(x) + 1)))
 
 
 def location_span(text: Column, start_line: Column, start_col: Column, end_line: Column, end_col: Column) -> Column:
@@ -87,6 +119,7 @@ def shape(value: Column) -> Column:
     full = lambda chars: value.rlike(rf"^[{chars}]+$")
     kind = F.when(value.rlike(P.VENDOR_PREFIX), "vendor").when(full("0-9a-f"), "hexlo").when(full("0-9A-F"), "hexup").when(full("0-9"), "digits").when(full(r"A-Za-z0-9+/=_\-."), "b64ish").otherwise("mixed")
     size = F.when(F.length(value) < 20, "s").when(F.length(value) < 40, "m").otherwise("l")
+    # fixed values: the cuts of length and entropy
     bits = F.when(entropy(value) < 3.0, "lo").when(entropy(value) < 4.2, "md").otherwise("hi")
     return F.when(F.coalesce(F.length(value), F.lit(0)) == 0, "empty").otherwise(F.concat_ws(":", kind, size, bits))
 
@@ -102,21 +135,43 @@ def value_class(value: Column) -> Column:
     key = F.startswith(v, F.lit("-----BEGIN")) | (F.contains(v, F.lit("BEGIN")) & (F.contains(v, F.lit("KEY")) | F.contains(v, F.lit("CERTIFICATE"))))
     out = out.when(placeholder, "placeholder/example/redacted").when(key, "private_key/cert_material")
     for name, pattern in P.VALUE_CLASSES:
-        out = out.when(v.rlike(pattern), name)
+        out = out.when(has(v, pattern), name)
     out = out.when(v.rlike(P.HEX_BLOB) & F.length(v).isin(*P.HASH_LENGTHS), F.concat(F.lit("hex_hash/checksum(len"), F.length(v).cast("string"), F.lit(")")))
-    out = out.when(v.rlike(P.ENV_NAME), "env_var_name(no_value)").when(v.rlike(P.NUMERIC_ID), "numeric_id")
+    out = out.when(v.rlike(P.ENV_NAME), "env_var_name(no_value)").when(has(v, P.NUMERIC_ID), "numeric_id")
     return out.when(v.rlike(P.BASE64_BLOB) & (F.length(v) >= 24), "base64/hex_blob").when(F.length(v) >= 16, "high_entropy_other").otherwise("short/other")
 
 
+@F.pandas_udf(StringType())
+def _masked(text: pd.Series, starts: pd.Series, ends: pd.Series, mark: pd.Series) -> pd.Series:
+    out = []
+    for t, begin, end, m in zip(text, starts, ends, mark, strict=True):
+        if t is None or begin is None or end is None or not len(begin):
+            out.append(t)
+            continue
+        parts, at = [], 0
+        last, stop = 0, -1  # the joined span that is open
+        for s, e in sorted(zip(map(int, begin), map(int, end), strict=True)):
+            if s < stop:
+                stop = max(stop, e)
+                continue
+            if stop >= 0:
+                parts += [t[at:last], m]
+                at = stop
+            last, stop = s, e
+        out.append("".join([*parts, t[at:last], m, t[stop:]]))
+    return pd.Series(out, dtype="object")
+
+
 def mask(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each span (array of structs start, end) replaced, from right to left; spans that overlap are
-    joined first, so that a mark never cuts another."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    joined = F.aggregate(
-        ordered, F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return F.aggregate(F.reverse(joined), text, lambda t, s: F.overlay(t, F.lit(mark), s["start"] + 1, s["end"] - s["start"]))
+    """text with each span (array of structs start, end) replaced, in one pass; spans that overlap are joined first, so
+    that a mark never cuts another. The spans of one pattern need none of this: mask_matches."""
+    field = lambda name: F.transform(spans, lambda s: s[name].cast("int"))
+    return _masked(text, field("start"), field("end"), F.lit(mark))
+
+
+def mask_matches(text: Column, pattern: str, mark: str = "[SECRET]") -> Column:
+    """text with each match of pattern replaced, without a Python function."""
+    return F.regexp_replace(text, F.lit(UNICODE + pattern), F.lit(re.sub(r"([\\$])", r"\\\1", mark)))
 
 
 def context(text: Column, line: Column, around: int) -> Column:

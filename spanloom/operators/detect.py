@@ -77,7 +77,7 @@ def unexplained(findings: DataFrame, spans: DataFrame, keys: Sequence[str] = ("d
     on_line = findings.join(spans.select(*keys, "line").distinct(), [*keys, "line"], "left_anti")
     alike = F.lit(False)
     for _, p in P.LOOKALIKES:
-        alike = alike | F.coalesce(F.col("value").rlike(p), F.lit(False))
+        alike = alike | F.coalesce(T.has(F.col("value"), p), F.lit(False))
     return on_line.filter(~alike)
 
 

@@ -90,7 +90,7 @@ def suggest(items: DataFrame) -> DataFrame:
     key, value, detector = F.col("key"), F.col("value"), F.col("detector")
     out = F.when(detector == "pem_private", F.struct(F.lit(P.POSITIVE).alias("label"), F.lit("private key").alias("reason")))
     rule = lambda label, reason: F.struct(F.lit(label).alias("label"), F.lit(reason).alias("reason"))
-    out = out.when(detector == "vendor_prefix", rule(P.POSITIVE, "vendor prefix")).when(value.rlike(P.PLACEHOLDER) | key.rlike(P.PLACEHOLDER), rule(P.NEGATIVE, "placeholder"))
-    out = out.when(key.rlike(P.NEGATIVE_KEY) & ~key.rlike(P.STRONG_KEY), rule(P.NEGATIVE, "key of a non-secret")).when(key.rlike(P.STRONG_KEY), rule(P.POSITIVE, "key of a secret"))
+    out = out.when(detector == "vendor_prefix", rule(P.POSITIVE, "vendor prefix")).when(T.has(value, P.PLACEHOLDER) | T.has(key, P.PLACEHOLDER), rule(P.NEGATIVE, "placeholder"))
+    out = out.when(T.has(key, P.NEGATIVE_KEY) & ~T.has(key, P.STRONG_KEY), rule(P.NEGATIVE, "key of a non-secret")).when(T.has(key, P.STRONG_KEY), rule(P.POSITIVE, "key of a secret"))
     out = out.when(detector == "gitleaks", rule(P.POSITIVE, "flagged by a scanner")).when((T.entropy(value) >= 4.3) & (F.length(value) >= 24), rule(P.AMBIGUOUS, "bare high-entropy literal")).otherwise(rule(P.AMBIGUOUS, "unclear"))
     return items.withColumn("_s", out).select(*items.columns, "_s.label", "_s.reason")

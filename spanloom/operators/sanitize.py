@@ -28,8 +28,8 @@ def _bytes(seed: str, n: int) -> bytes:
 
 
 def _alphabet(value: str) -> str | None:
-    """The one alphabet a whole value stays in: long hex of either case, or digits."""
-    for alphabet, least in ((DIGITS, 4), (DIGITS + "abcdef", 8), (DIGITS + "ABCDEF", 8)):
+    """The one alphabet a whole value stays in: long hex of either case (eight digits and more are hex too), or digits."""
+    for alphabet, least in ((DIGITS + "abcdef", 8), (DIGITS + "ABCDEF", 8), (DIGITS, 4)):
         if len(value) >= least and not set(value) - set(alphabet):
             return alphabet
     return None
@@ -41,10 +41,9 @@ def synthetic(value: str, seed: str, kind: str) -> str:
     stream, whole = _bytes(seed, len(value)), _alphabet(value)
     kept = set()
     if kind in ("vendor_prefix", "external"):
-        for m in _PREFIX.finditer(value):
+        first = _PREFIX.match(value)
+        for m in _PREFIX.finditer(value) if kind == "external" else [first] if first else []:
             kept.update(range(*m.span()))
-            if kind == "vendor_prefix":
-                break
         whole = _alphabet("".join(c for k, c in enumerate(value) if k not in kept)) if kind == "vendor_prefix" else whole
     if kind == "pem_private":
         at = 0

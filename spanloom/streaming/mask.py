@@ -10,8 +10,8 @@ from ..functions import text as T
 
 def mask_stream(docs: DataFrame, pattern: str, mark: str = "[SECRET]") -> DataFrame:
     """docs (batch or stream) with masked and n_masked."""
-    hits = T.matches(F.col("text"), pattern)
-    return docs.withColumn("n_masked", F.size(hits)).withColumn("masked", T.mask(F.col("text"), hits, mark))
+    n = F.coalesce(F.regexp_count("text", F.lit(T.UNICODE + pattern)), F.lit(0))
+    return docs.withColumn("n_masked", n).withColumn("masked", T.mask_matches(F.col("text"), pattern, mark))
 
 
 def start_masking(spark: SparkSession, source: str, schema: str, pattern: str, out: str, checkpoint: str):

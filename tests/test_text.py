@@ -85,3 +85,34 @@ def test_value_classes_and_shapes(spark):
     shapes = {"ghp_abc": "vendor:s:lo", "0123456789abcdef": "hexlo:s:md", "1111": "hexlo:s:lo", "a b": "mixed:s:lo"}
     rows = spark.createDataFrame([(v,) for v in shapes], "v string").select("v", T.shape(F.col("v")).alias("c")).collect()
     assert {r.v: r.c for r in rows} == shapes
+
+
+def test_unicode_classes_are_those_of_python(spark):
+    texts = ["é" + "0123456789abcdef" * 2, "x 0123456789abcdef0123456789abcdef y", "password = hunter2hunter2", "token = abcdéf(x)", "ß10.0.0.1", "10.0.0.1é 10.0.0.2"]
+    for name in ("hex_md5", "ipv4"):
+        pattern = dict(P.LOOKALIKES)[name]
+        got = {(r.doc_id, r.start, r.value) for r in spans.find(frame(spark, texts), pattern).collect()}
+        assert got == {(i, m.start(), m.group()) for i, t in enumerate(texts) for m in re.finditer(pattern, t)}, name
+    got = [(r.doc_id, r.value) for r in spans.find(frame(spark, texts), P.KEYWORDED_VALUE, lead=P.KEYWORDED, tail=P.NO_CALL).collect()]
+    assert got == [(2, "hunter2hunter2")]
+
+
+def test_search_time_grows_with_the_matches(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(F.lit(0).alias("doc_id"), F.repeat(F.lit("abcd1234 é\n"), n).alias("text"))
+        began = time.time()
+        rows = df.select(F.transform(T.matches(F.col("text"), r"[a-z]{4}\d{4}"), lambda m: m["start"]).alias("s"), T.line_starts(F.col("text")).alias("l"), F.length(T.mask_matches(F.col("text"), r"[a-z]{4}\d{4}")).alias("m")).first()
+        assert rows.s == [11 * k for k in range(n)] and rows.l == [11 * k for k in range(n + 1)] and rows.m == 11 * n
+        return time.time() - began
+
+    seconds(1000)
+    few, many = seconds(25_000), seconds(200_000)
+    assert many < 12 * few + 5
+
+
+def test_mask_of_many_spans(spark):
+    n = 100_000
+    df = spark.range(1).select(F.repeat(F.lit("ab "), n).alias("t"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((3 * k).alias("start"), (3 * k + 2).alias("end"))).alias("s"))
+    assert df.select(T.mask(F.col("t"), F.col("s"), "x").alias("m")).first().m == "x " * n
