@@ -65,3 +65,14 @@ SKIPPED_FOLDERS = ("node_modules", "vendor", "dist", "build", ".git")
 MAX_FILE_BYTES = 64000
 POSITIVE, NEGATIVE, AMBIGUOUS = "POLICY_POSITIVE", "POLICY_NEGATIVE", "AMBIGUOUS_EXCLUDED"
 FAMILIES = ("generic_password", "generic_api_key", "generic_high_entropy", "basic_auth_header")
+
+# ---- Fixed values: how each kind of source file assigns a value {V} to a key {K}, and the key of each family
+INJECTED_LINES = {
+    "py": '{K} = "{V}"', "js": 'const {K} = "{V}";', "ts": 'const {K}: string = "{V}";', "go": '\t{K} := "{V}"', "java": 'String {K} = "{V}";',
+    "yaml": '{K}: "{V}"', "toml": '{K} = "{V}"', "ini": "{K} = {V}", "cfg": "{K} = {V}", "conf": "{K} = {V}", "env": "{K}={V}",
+    "sh": 'export {K}="{V}"', "properties": "{K}={V}", "json": '  "{K}": "{V}",', "xml": "<{K}>{V}</{K}>",
+}
+UPPER_KEYS = ("java", "sh")
+FAMILY_KEYS = ("password", "api_key", "secret", "authorization")
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+SYMBOLS, BASE64_SYMBOLS, DIGITS = "!@#$%^&*-_", "+/", "0123456789"

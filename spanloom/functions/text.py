@@ -187,6 +187,14 @@ def repo_name(url: Column) -> Column:
     return F.lower(F.when(tail != "", tail).otherwise(clean))
 
 
+def quoted(url: Column) -> Column:
+    """Percent-encoded, but for letters, digits and _ . - ~ /."""
+    out = F.url_encode(url)
+    for have, want in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(have), F.lit(want))
+    return out
+
+
 def file_kind(path: Column) -> Column:
     """Kind of a source file by its extension; null for others."""
     kinds = F.create_map(*[F.lit(x) for kv in P.EXTENSIONS.items() for x in kv])

@@ -89,22 +89,34 @@ def false_alarms(lookalikes: DataFrame, pred: DataFrame) -> DataFrame:
     return t.select("category", "n", "flagged", F.round(F.col("flagged") / F.greatest(F.lit(1), F.col("n")), 4).alias("rate"))
 
 
+def _judged(labelled: DataFrame, pred: DataFrame) -> DataFrame:
+    """pred (doc_id, start, end, line, nth) with matched (a positive of its own has the same place), ambiguous, negative and
+    near: whether it overlaps candidates of these labels, or any. One join by place, one interval join."""
+    keys = list(STRICT)
+    gold = labelled.filter(F.col("label") == "POLICY_POSITIVE").groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).alias("g")
+    p = pred.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("score")).alias("nth")).alias("p")
+    p = p.join(gold, [F.col(f"p.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys], "left").select("p.*", (F.col("nth") <= F.coalesce("k", F.lit(0))).alias("matched"))
+    near = S.overlapping(p, labelled, how="left").groupBy(*[f"a.{c}" for c in p.columns])
+    is_ = lambda label: F.coalesce(F.bool_or(F.col("b.label") == label), F.lit(False))
+    return near.agg(is_("AMBIGUOUS_EXCLUDED").alias("ambiguous"), is_("POLICY_NEGATIVE").alias("negative"), (F.count("b.label") > 0).alias("near"))
+
+
 def adjudicated(labelled: DataFrame, pred: DataFrame) -> DataFrame:
     """Score against candidates with labels (doc_id, start, end, line, label): positives are gold; a prediction that
     matches none and overlaps an ambiguous one is left out; every other false alarm gets a class."""
-    gold = labelled.filter(F.col("label") == "POLICY_POSITIVE")
-    t = counts(gold, pred, STRICT)
-    keys = list(STRICT)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("score"))
-    g = gold.withColumn("nth", nth_of(keys)).select(*keys, "nth")
-    wrong = pred.withColumn("nth", nth).alias("p").join(g.alias("g"), [F.col(f"p.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys] + [F.col("p.nth") == F.col("g.nth")], "left_anti")
-    clear = S.overlapping(wrong, labelled.filter(F.col("label") == "AMBIGUOUS_EXCLUDED"), how="left_anti")
-    near = lambda label: S.overlapping(clear, labelled.filter(F.col("label") == label), how="left_semi")
-    on_negative = near("POLICY_NEGATIVE").agg(F.count(F.lit(1)).alias("fp_negative"))
-    total = clear.agg(F.count(F.lit(1)).alias("fp"))
-    off = S.overlapping(clear, labelled, how="left_anti").agg(F.count(F.lit(1)).alias("fp_off"))
-    one = t.select("tp", "fn").join(total).join(on_negative).join(off)
-    return one.select("tp", "fp", "fn", "fp_negative", "fp_off", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    clear = ~F.col("matched") & ~F.col("ambiguous")
+    t = _judged(labelled, pred).agg(F.count_if("matched").alias("tp"), F.count_if(clear).alias("fp"), F.count_if(clear & F.col("negative")).alias("fp_negative"), F.count_if(clear & ~F.col("near")).alias("fp_off"))
+    one = t.join(labelled.agg(F.count_if(F.col("label") == "POLICY_POSITIVE").alias("n")))  # two rows of one
+    one = one.select("tp", "fp", (F.col("n") - F.col("tp")).alias("fn"), "fp_negative", "fp_off")
+    return one.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def adjudicated_files(labelled: DataFrame, pred: DataFrame) -> DataFrame:
+    """tp, fp, fn of documents with a positive and documents with a prediction that overlaps no ambiguous candidate."""
+    gold = labelled.filter(F.col("label") == "POLICY_POSITIVE").select("doc_id", F.lit(True).alias("g"), F.lit(False).alias("p"))
+    both = gold.unionByName(_judged(labelled, pred).filter(~F.col("ambiguous")).select("doc_id", F.lit(False).alias("g"), F.lit(True).alias("p")))
+    t = both.groupBy("doc_id").agg(F.bool_or("g").alias("g"), F.bool_or("p").alias("p")).agg(F.count_if(F.expr("g and p")).alias("tp"), F.count_if(F.expr("p and not g")).alias("fp"), F.count_if(F.expr("g and not p")).alias("fn"))
+    return t.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def nth_of(keys: Sequence[str]) -> Column:
@@ -145,22 +157,95 @@ def mcnemar_p(b: int, c: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)
 
 
-def tool_scores(gold: DataFrame, detections: DataFrame, tools: DataFrame) -> DataFrame:
-    """tool, status and file-level and line-level counts for all tools in one plan. gold: file, has, line (null for
-    none); detections: tool, file, line (-1: unknown line, still flags the file); tools: tool, status. A tool
-    that did not run has nulls, never zeros."""
-    files = gold.groupBy("file").agg(F.bool_or("has").alias("has"))
-    flags = detections.select("tool", "file").distinct().join(files, "file")
-    n = files.agg(F.count_if("has").alias("n_pos"))
-    by_file = flags.groupBy("tool").agg(F.count_if("has").alias("file_tp"), F.count_if(~F.col("has")).alias("file_fp"))
-    gold_lines = gold.filter("line is not null").select("file", "line").distinct()
-    lines = detections.filter("line > 0").distinct().join(files.select("file"), "file")
-    hit = lines.join(gold_lines.withColumn("real", F.lit(True)), ["file", "line"], "left").groupBy("tool").agg(F.count_if("real").alias("line_tp"), F.count_if(F.col("real").isNull()).alias("line_fp"))
-    m = gold_lines.agg(F.count(F.lit(1)).alias("n_lines"))
-    t = tools.join(by_file, "tool", "left").join(hit, "tool", "left").join(n).join(m)
+def tool_rows(gold: DataFrame, detections: DataFrame) -> DataFrame:
+    """gold (file, has, line or null) and detections (tool, file, line) as one long table, whose gold rows have no tool."""
+    return gold.select("file", F.lit(None).cast("string").alias("tool"), "line", "has").unionByName(detections.select("file", "tool", "line", F.lit(None).cast("boolean").alias("has")))
+
+
+def tool_scores(rows: DataFrame, tools: DataFrame, digits: int = 3) -> DataFrame:
+    """tool, status and, at file and line level, counts, precision, recall and F1 of all tools. rows: file, tool (null: gold),
+    line (-1: unknown, still flags the file; null: none), has; tools: tool, status. A tool that did not run has
+    nulls, never zeros. One shuffle by file; of a file only its distinct lines are held together."""
+    is_gold, found = F.col("tool").isNull(), F.struct("tool", "line")
+    per = rows.groupBy("file").agg(F.bool_or(is_gold).alias("known"), F.coalesce(F.bool_or("has"), F.lit(False)).alias("has"), F.collect_set(F.when(is_gold, F.col("line"))).alias("lines"), F.collect_set(F.when(~is_gold, found)).alias("found"))
+    hit = lambda level, tool, real: F.struct(F.lit(level).alias("level"), tool.alias("tool"), real.alias("real"))
+    at_file = F.transform(F.array_distinct(F.transform("found", lambda x: x["tool"])), lambda t: hit("file", t, F.col("has")))
+    at_line = F.transform(F.filter("found", lambda x: x["line"] > 0), lambda x: hit("line", x["tool"], F.array_contains("lines", x["line"])))
+    whole = F.concat(F.array(hit("file", F.lit(None).cast("string"), F.col("has"))), F.transform("lines", lambda x: hit("line", F.lit(None).cast("string"), F.lit(True))))
+    each = per.filter("known").select(F.explode(F.concat(at_file, at_line, whole)).alias("x")).select("x.*")
+    at = lambda level, real: F.count_if((F.col("level") == level) & (F.col("real") == real))
+    t = each.groupBy("tool").agg(at("file", True).alias("file_tp"), at("file", False).alias("file_fp"), at("line", True).alias("line_tp"), at("line", False).alias("line_fp"))
+    n = t.filter("tool is null").agg(F.coalesce(F.max("file_tp"), F.lit(0)).alias("n_file"), F.coalesce(F.max("line_tp"), F.lit(0)).alias("n_line"))
+    t = tools.join(t.filter("tool is not null"), "tool", "left").join(n)  # a row for each tool, and one row
     ran = F.col("status") == "ok"
     v = lambda c: F.when(ran, F.coalesce(c, F.lit(0)))
-    return t.select(
-        "tool", F.when(ran, F.lit("ok")).otherwise(F.lit("NOT RUN")).alias("status"), v("file_tp").alias("file_tp"), v("file_fp").alias("file_fp"), F.when(ran, F.col("n_pos") - F.coalesce("file_tp", F.lit(0))).alias("file_fn"),
-        v("line_tp").alias("line_tp"), v("line_fp").alias("line_fp"), F.when(ran, F.col("n_lines") - F.coalesce("line_tp", F.lit(0))).alias("line_fn"),
+    out = [F.col("tool"), F.when(ran, F.lit("ok")).otherwise(F.lit("NOT RUN")).alias("status")]
+    for level in ("file", "line"):
+        tp, fp, fn = v(F.col(f"{level}_tp")), v(F.col(f"{level}_fp")), F.when(ran, F.col(f"n_{level}") - F.coalesce(f"{level}_tp", F.lit(0)))
+        out += [tp.alias(f"{level}_tp"), fp.alias(f"{level}_fp"), fn.alias(f"{level}_fn")]
+        out += [F.when(ran, x).alias(f"{level}_{name}") for x, name in zip((ratio(tp, tp + fp, digits), ratio(tp, tp + fn, digits), ratio(2 * tp, 2 * tp + fp + fn, digits)), ("p", "r", "f1"), strict=True)]
+    return t.select(*out)
+
+
+def tool_strict(gold: DataFrame, spans: DataFrame, tools: list[str], digits: int = 3) -> DataFrame:
+    """tool, tp, fp, fn and ratios of exact places with lines, for tools that give spans (tool, doc_id, start, end, line)."""
+    each = gold.select(*STRICT, F.explode(F.array(*map(F.lit, tools))).alias("tool"))
+    return scored(each, spans, STRICT, ("tool",), digits)
+
+
+def evaluate(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """One row of all counts: documents, spans, inflation, exact, strict and document level, line accuracy, fragmentation.
+    Both sides are dealt by document once; all levels are sums over that dealing."""
+    kind = lambda df, g, p: df.select("doc_id", "start", "end", "line", F.lit(g).alias("g"), F.lit(p).alias("p"))
+    none = F.lit(None).cast("int")
+    rows = kind(gold, 1, 0).unionByName(kind(pred, 0, 1)).unionByName(docs.select("doc_id", none.alias("start"), none.alias("end"), none.alias("line"), F.lit(0).alias("g"), F.lit(0).alias("p")))
+    rows = rows.repartition("doc_id")
+    strict = rows.groupBy(*STRICT).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    exact = strict.groupBy("doc_id", "start", "end").agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum(F.least("g", "p")).alias("strict"))
+    per = exact.groupBy("doc_id").agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum("strict").alias("strict"), F.sum(F.least("g", "p")).alias("exact"))
+    sums = per.agg(
+        F.count(F.lit(1)).alias("n_docs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("g", "n_gold"), ("p", "n_pred"), ("exact", "exact_tp"), ("strict", "strict_tp"))],
+        F.count_if(F.expr("g > 0 and p > 0")).alias("file_tp"), F.count_if(F.expr("g = 0 and p > 0")).alias("file_fp"), F.count_if(F.expr("g > 0 and p = 0")).alias("file_fn"), F.count_if(F.expr("g = 0 and p = 0")).alias("file_tn"),
     )
+    broken = fragmentation_summary(gold, pred).select("n_multi", "pct_fragmented", "n_any")
+    of_gold = F.nullif(F.col("n_gold"), F.lit(0))
+    return sums.join(broken).select("*", F.round(F.col("n_pred") / of_gold, 4).alias("inflation"), ratio(F.col("strict_tp"), F.col("exact_tp")).alias("line_accuracy"))  # two rows of one
+
+
+def fragmentation_summary(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """n_gold, n_multi and pct_fragmented (more than one prediction), n_any (at least one)."""
+    h = fragmentation(gold, pred)
+    t = h.agg(F.coalesce(F.sum("n_gold"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(F.when(F.col("n_overlaps") >= k, F.col("n_gold"))), F.lit(0)).alias(name) for k, name in ((2, "n_multi"), (1, "n_any"))])
+    return t.select(F.col("n").alias("n_gold"), "n_multi", F.round(100 * F.col("n_multi") / F.nullif(F.col("n"), F.lit(0)), 2).alias("pct_fragmented"), "n_any")
+
+
+def alarms_and_recall(planted: DataFrame, detections: DataFrame) -> DataFrame:
+    """tool, n_files, flagged, line_hits: of files with one planted line (file, line; a null line: none planted) those a
+    tool flags at all, and those whose planted line it flags. detections: tool, file, line."""
+    per = detections.join(planted.withColumnRenamed("line", "planted"), "file").groupBy("tool", "file").agg(F.bool_or(F.coalesce(F.col("line") == F.col("planted"), F.lit(False))).alias("hit"), (F.count("planted") > 0).alias("is_planted"))
+    t = per.groupBy("tool").agg(F.count_if(~F.col("is_planted")).alias("clean_flagged"), F.count_if("is_planted").alias("planted_flagged"), F.count_if("hit").alias("line_hits"))
+    n = planted.agg(F.count_if(F.col("line").isNull()).alias("n_clean"), F.count_if(F.col("line").isNotNull()).alias("n_planted"))
+    return t.join(n).select("tool", "clean_flagged", "n_clean", "planted_flagged", "line_hits", "n_planted", ratio(F.col("clean_flagged"), F.col("n_clean"), 3).alias("file_fp"), ratio(F.col("line_hits"), F.col("n_planted"), 3).alias("line_recall"), ratio(F.col("planted_flagged"), F.col("n_planted"), 3).alias("file_recall"))
+
+
+def file_alarm_sweep(files: DataFrame, pred: DataFrame, taus: Sequence[float], tag: str) -> DataFrame:
+    """tag, tau, flagged, n_files, file_fp: clean files with any prediction at or above each threshold."""
+    best = files.select("doc_id").join(pred.groupBy("doc_id").agg(F.max(F.coalesce("score", F.lit(1.0))).alias("best")), "doc_id", "left").groupBy("best").count()
+    grid = files.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau"))
+    t = best.join(F.broadcast(grid)).groupBy("tau").agg(F.sum(F.when(F.col("best") >= F.col("tau"), F.col("count")).otherwise(0)).alias("flagged"), F.sum("count").alias("n_files"))
+    return t.select(F.lit(tag).alias("tag"), "tau", "flagged", "n_files", ratio(F.col("flagged"), F.col("n_files")).alias("file_fp"))
+
+
+def error_rates(rows: DataFrame, tau: float) -> DataFrame:
+    """n_negative, n_fp, fp_rate, n_positive, n_fn, fn_rate of rows (label, maxscore)."""
+    neg, pos, hit = F.col("label") == 0, F.col("label") == 1, F.coalesce("maxscore", F.lit(0.0)) >= tau
+    t = rows.agg(F.count_if(neg).alias("n_negative"), F.count_if(neg & hit).alias("n_fp"), F.count_if(pos).alias("n_positive"), F.count_if(pos & ~hit).alias("n_fn"))
+    rate = lambda a, b: F.round(F.col(a) / F.greatest(F.lit(1), F.col(b)), 4)
+    return t.select("*", rate("n_fp", "n_negative").alias("fp_rate"), rate("n_fn", "n_positive").alias("fn_rate"))
+
+
+def most_common(rows: DataFrame, bucket: str, order: Sequence[str], n: int = 15) -> DataFrame:
+    """bucket, n, pct of the n most frequent buckets; of equals that which is first in the order."""
+    per = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("_first"))
+    whole = per.agg(F.sum("n").alias("_all"))
+    return per.join(whole).orderBy(F.desc("n"), "_first").limit(n).select(bucket, "n", F.round(100 * F.col("n") / F.col("_all"), 1).alias("pct"))

@@ -94,3 +94,8 @@ def suggest(items: DataFrame) -> DataFrame:
     out = out.when(T.has(key, P.NEGATIVE_KEY) & ~T.has(key, P.STRONG_KEY), rule(P.NEGATIVE, "key of a non-secret")).when(T.has(key, P.STRONG_KEY), rule(P.POSITIVE, "key of a secret"))
     out = out.when(detector == "gitleaks", rule(P.POSITIVE, "flagged by a scanner")).when((T.entropy(value) >= 4.3) & (F.length(value) >= 24), rule(P.AMBIGUOUS, "bare high-entropy literal")).otherwise(rule(P.AMBIGUOUS, "unclear"))
     return items.withColumn("_s", out).select(*items.columns, "_s.label", "_s.reason")
+
+
+def capped(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    """The first `most` rows of each group. Of a large group every task passes on that many only."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")

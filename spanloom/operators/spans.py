@@ -81,3 +81,13 @@ def greedy_pairs(pairs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFra
     take = lambda acc, x: F.when(F.exists(acc, lambda t: (t["p"] == x["p"]) | (t["g"] == x["g"])), acc).otherwise(F.concat(acc, F.array(x)))
     folded = groups.select(*keys, F.explode(F.aggregate("_all", none, take)).alias("x")).select(*keys, "x.p", "x.g", (-F.col("x.o")).alias("overlap"))
     return folded.unionByName(marked.filter("_alone").drop("_alone"))
+
+
+def snippets(docs: DataFrame, hits: DataFrame, around: int) -> DataFrame:
+    """hits (doc_id, start, end, line) with snippet, the lines from `around` before a document's first hit to `around` behind
+    its last, and the hits' places in it. A document's lines are cut once, not for each hit."""
+    window = hits.groupBy("doc_id").agg(F.greatest(F.lit(0), F.min("line") - around).alias("_a"), (F.max("line") + around).alias("_b"))
+    lines = docs.select("doc_id", F.split("text", "\n").alias("_l")).join(window, "doc_id")
+    off = F.when(F.col("_a") > 0, F.length(F.array_join(F.slice("_l", F.lit(1), F.col("_a")), "\n")) + 1).otherwise(0)
+    cut = lines.select("doc_id", "_a", off.alias("_off"), F.array_join(F.slice("_l", F.col("_a") + 1, F.col("_b") - F.col("_a")), "\n").alias("snippet"))
+    return hits.join(cut, "doc_id").select("doc_id", (F.col("start") - F.col("_off")).alias("start"), (F.col("end") - F.col("_off")).alias("end"), (F.col("line") - F.col("_a")).alias("line"), "snippet")

@@ -332,26 +332,32 @@ hits AS (SELECT dl.tool, lines.file IS NOT NULL AS hit FROM dl LEFT JOIN lines O
 
 
 def _tool_scores(spark, sf_dir):
-    docs = read(spark, sf_dir)
-    tok = D.tokens(docs)
-    h = F.pmod(F.col("doc_id") * 7919 + F.col("start"), F.lit(100))
-    noisy = tok.filter(h >= 20).select(F.lit("noisy").alias("tool"), F.col("doc_id").alias("file"), F.when(h < 50, -1).otherwise(F.col("line") + 1).alias("line"))
-    det = tok.select(F.lit("exact").alias("tool"), F.col("doc_id").alias("file"), "line").unionByName(noisy).unionByName(docs.filter("doc_id % 10 = 0").select(F.lit("noisy").alias("tool"), F.col("doc_id").alias("file"), F.lit(1).alias("line")))
-    gold = docs.select(F.col("doc_id").alias("file")).join(tok.select(F.col("doc_id").alias("file"), "line"), "file", "left").select("file", F.col("line").isNotNull().alias("has"), "line")
-    tools = spark.createDataFrame([("absent", "not_installed"), ("exact", "ok"), ("noisy", "ok")], "tool string, status string")
-    return evaluate.tool_scores(gold, det, tools)
+    """Gold and the findings of two tools come out of one pass over the texts, as one long table."""
+    h = F.pmod(F.col("doc_id") * 7919 + F.col("x.start"), F.lit(100))
+    row = lambda tool, line, has: F.struct(F.lit(tool).cast("string").alias("tool"), line.cast("int").alias("line"), has.cast("boolean").alias("has"))
+    none, line = F.lit(None), F.col("x.line")
+    seen = read(spark, sf_dir).select("doc_id", F.posexplode_outer(T.matches(F.col("text"), P.TOKEN)).alias("pos", "x"))
+    gold = F.array(row(None, line, F.col("x").isNotNull()))
+    exact = F.when(F.col("x").isNotNull(), F.array(row("exact", line, none)))
+    noisy = F.when(h >= 20, F.array(row("noisy", F.when(h < 50, F.lit(-1)).otherwise(line + 1), none)))
+    tenth = F.when((F.col("doc_id") % 10 == 0) & (F.coalesce("pos", F.lit(0)) == 0), F.array(row("noisy", F.lit(1), none)))
+    empty = F.array().cast("array<struct<tool:string,line:int,has:boolean>>")
+    rows = seen.select(F.col("doc_id").alias("file"), F.inline(F.concat(gold, *[F.coalesce(c, empty) for c in (exact, noisy, tenth)])))
+    one = lambda tool, status: F.struct(F.lit(tool).alias("tool"), F.lit(status).alias("status"))
+    tools = spark.range(1).select(F.inline(F.array(one("absent", "not_installed"), one("exact", "ok"), one("noisy", "ok"))))
+    return evaluate.tool_scores(rows, tools)
 
 
 @query(f"""WITH {TH}, {_tools}, n AS (SELECT count(*) FILTER (WHERE has) AS n_pos FROM gold), c AS (SELECT tool, count(*) FILTER (WHERE has) AS tp, count(*) FILTER (WHERE NOT has) AS fp FROM flags GROUP BY tool)
-SELECT tool, CASE WHEN status = 'ok' THEN 'ok' ELSE 'NOT RUN' END AS status, CASE WHEN status = 'ok' THEN coalesce(tp, 0) END AS file_tp, CASE WHEN status = 'ok' THEN coalesce(fp, 0) END AS file_fp, CASE WHEN status = 'ok' THEN n_pos - coalesce(tp, 0) END AS file_fn FROM tools LEFT JOIN c USING (tool), n""")
+SELECT tool, CASE WHEN status = 'ok' THEN 'ok' ELSE 'NOT RUN' END AS status, CASE WHEN status = 'ok' THEN coalesce(tp, 0) END AS file_tp, CASE WHEN status = 'ok' THEN coalesce(fp, 0) END AS file_fp, CASE WHEN status = 'ok' THEN n_pos - coalesce(tp, 0) END AS file_fn, CASE WHEN status = 'ok' THEN {sql_ratio('coalesce(tp, 0)', 'coalesce(tp, 0) + coalesce(fp, 0)', 3)} END AS file_p, CASE WHEN status = 'ok' THEN {sql_ratio('coalesce(tp, 0)', 'n_pos', 3)} END AS file_r, CASE WHEN status = 'ok' THEN {sql_ratio('2 * coalesce(tp, 0)', 'coalesce(tp, 0) + coalesce(fp, 0) + n_pos', 3)} END AS file_f1 FROM tools LEFT JOIN c USING (tool), n""")
 def tool_file_prf(spark, sf_dir):
-    return _tool_scores(spark, sf_dir).select("tool", "status", "file_tp", "file_fp", "file_fn")
+    return _tool_scores(spark, sf_dir).select("tool", "status", "file_tp", "file_fp", "file_fn", "file_p", "file_r", "file_f1")
 
 
 @query(f"""WITH {TH}, {_tools}, n AS (SELECT count(*) AS n_lines FROM lines), c AS (SELECT tool, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fp FROM hits GROUP BY tool)
-SELECT tool, CASE WHEN status = 'ok' THEN coalesce(tp, 0) END AS line_tp, CASE WHEN status = 'ok' THEN coalesce(fp, 0) END AS line_fp, CASE WHEN status = 'ok' THEN n_lines - coalesce(tp, 0) END AS line_fn FROM tools LEFT JOIN c USING (tool), n""")
+SELECT tool, CASE WHEN status = 'ok' THEN coalesce(tp, 0) END AS line_tp, CASE WHEN status = 'ok' THEN coalesce(fp, 0) END AS line_fp, CASE WHEN status = 'ok' THEN n_lines - coalesce(tp, 0) END AS line_fn, CASE WHEN status = 'ok' THEN {sql_ratio('coalesce(tp, 0)', 'coalesce(tp, 0) + coalesce(fp, 0)', 3)} END AS line_p, CASE WHEN status = 'ok' THEN {sql_ratio('coalesce(tp, 0)', 'n_lines', 3)} END AS line_r, CASE WHEN status = 'ok' THEN {sql_ratio('2 * coalesce(tp, 0)', 'coalesce(tp, 0) + coalesce(fp, 0) + n_lines', 3)} END AS line_f1 FROM tools LEFT JOIN c USING (tool), n""")
 def tool_line_prf(spark, sf_dir):
-    return _tool_scores(spark, sf_dir).select("tool", "line_tp", "line_fp", "line_fn")
+    return _tool_scores(spark, sf_dir).select("tool", "line_tp", "line_fp", "line_fn", "line_p", "line_r", "line_f1")
 
 
 @query(f"""WITH {TH}, {_tools}, d AS (SELECT file, list_sort(list_distinct(list(line))) AS l FROM det WHERE tool = 'noisy' GROUP BY file) SELECT file, CAST(len(list_filter(l, lambda x: x > 0)) AS INTEGER) AS n_lines, TRUE AS flagged FROM d""")
@@ -376,7 +382,7 @@ def sanitation_gate(spark, sf_dir):
     docs = read(spark, sf_dir)
     look = detect.lookalikes(docs)
     h = F.pmod(F.col("doc_id") * 7919 + F.col("start"), F.lit(100))
-    found = D.tokens(docs).filter(h < 5).select("doc_id", "line", "value").unionByName(look.select("doc_id", "line", F.lit(None).cast("string").alias("value")))
+    found = D.tokens(docs).filter(h < 5).select("doc_id", "line", "value")  # lookalikes explain themselves
     slim = docs.select("doc_id", "source")
     kept = detect.gate(slim, found, look).withColumn("kept", F.lit(True)).select("doc_id", "kept")
     return slim.join(kept, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept"))
@@ -389,13 +395,6 @@ def keyworded_values(spark, sf_dir):
     return spans.find(docs, P.KEYWORDED_VALUE, lead=P.KEYWORDED, tail=P.NO_CALL).drop("before")
 
 
-@query("SELECT count(*) AS n_docs, 0::BIGINT AS n_wrong FROM documents")
-def inject_offsets(spark, sf_dir):
-    """Every document with a planted secret; how many of the labels are off (none)."""
-    planted = inject.inject(read(spark, sf_dir))
-    return planted.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~T.cut(F.col("text"), F.col("start"), F.col("end")).eqNullSafe(F.col("value")) | (T.line_of(F.col("text"), F.col("start")) != F.col("line"))).alias("n_wrong"))
-
-
 @query()
 def candidate_spans(spark, sf_dir):
     """Candidates in texts with planted secrets, by detector and family."""
@@ -418,14 +417,7 @@ def mask_text(spark, sf_dir):
     return rows.select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), "n_masked")
 
 
-@query("SELECT count(*) AS n_docs, 0::BIGINT AS n_residue FROM documents")
-def mask_residue(spark, sf_dir):
-    """How many masked texts still match (none)."""
-    rows = streaming.mask_stream(read(spark, sf_dir).select("doc_id", "text"), P.TOKEN)
-    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("masked").rlike(P.TOKEN)).alias("n_residue"))
-
-
-@query("SELECT count(*) AS n_docs, 0::BIGINT AS n_length_changed, 0::BIGINT AS n_value_left FROM documents")
+@query()
 def sanitize_invariants(spark, sf_dir):
     """Texts with planted secrets, sanitized: none that is kept changes its length or holds a sanitized value."""
     planted = planted_texts(spark, sf_dir)
@@ -636,16 +628,6 @@ def candidate_ids(spark, sf_dir):
     return tok.select("doc_id", "start", integrity.candidate_id(F.col("doc_id").cast("string"), F.col("start"), F.col("end"), F.lit("token")).alias("id"))
 
 
-@query("SELECT type, gt_revision, count(*) AS n, 0::BIGINT AS n_wrong FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'generic_password' WHEN 1 THEN 'generic_api_key' WHEN 2 THEN 'generic_high_entropy' ELSE 'basic_auth_header' END AS type, CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END AS gt_revision FROM documents) GROUP BY type, gt_revision")
-def gold_correction(spark, sf_dir):
-    """Gold spans that still hold the scheme word, corrected and verified byte by byte."""
-    planted = inject.inject(read(spark, sf_dir))
-    basic = F.col("type") == "basic_auth_header"
-    wide = planted.withColumns({"start": F.when(basic, F.col("start") - 6).otherwise(F.col("start")), "value": F.when(basic, F.concat(F.lit("Basic "), "value")).otherwise(F.col("value"))})
-    fixed = integrity.corrected_gold(wide)
-    return fixed.groupBy("type", "gt_revision").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.cut(F.col("text"), F.col("start"), F.col("end")) != F.col("value")).alias("n_wrong"))
-
-
 _cls = sql_value_class()
 
 

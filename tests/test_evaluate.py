@@ -74,8 +74,8 @@ def test_tools_that_did_not_run_have_no_score(spark):
     gold = spark.createDataFrame([("a", True, 1), ("b", False, None)], "file string, has boolean, line int")
     det = spark.createDataFrame([("t", "a", 1), ("t", "b", -1)], "tool string, file string, line int")
     tools = spark.createDataFrame([("t", "ok"), ("u", "not_installed")], "tool string, status string")
-    got = {r.tool: r for r in E.tool_scores(gold, det, tools).collect()}
-    assert tuple(got["t"])[1:] == ("ok", 1, 1, 0, 1, 0, 0)
+    got = {r.tool: r for r in E.tool_scores(E.tool_rows(gold, det), tools).collect()}
+    assert tuple(got["t"])[1:] == ("ok", 1, 1, 0, 0.5, 1.0, 0.667, 1, 0, 0, 1.0, 1.0, 1.0)
     assert got["u"].status == "NOT RUN" and got["u"].file_tp is None
 
 
