@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,29 +37,38 @@ def _newlines(c: Column) -> Column:
 
 def _prefix_sums(numbers: Column, first: Column) -> Column:
     """first, and first with the numbers before each other one added. Quadratic in the array's length."""
-    return F.aggregate(numbers, F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    return F.aggregate(numbers, F.struct(first.cast("long").alias("at"), F.array().cast("array<long>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
 
 def running(numbers: Column) -> Column:
-    """The sum of all numbers before each one, in time near the array's length."""
+    """The sum of all numbers (longs) before each one, in time near the array's length."""
     cut = lambda ns: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ns) - 1, F.lit(0)), F.lit(BLOCK)), lambda k: F.slice(ns, k + 1, F.lit(BLOCK)))
-    sums = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda t, x: t + x))
+    sums = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda t, x: t + x))
     return let(let(numbers, cut), lambda bs: let(_prefix_sums(sums(bs), F.lit(0)), lambda firsts: F.flatten(F.transform(bs, lambda b, k: _prefix_sums(b, F.get(firsts, k))))))
 
 
-def _placed(pieces: Column) -> Column:
+LINE = 1 << 32  # a length and a number of line ends in one long
+
+
+def _placed(ps: Column) -> Column:
     """Gap, match, gap, match... to matches with their places: running sums of lengths and line ends."""
 
-    def place(ps: Column) -> Column:
-        at, lines = running(F.transform(ps, F.length)), running(F.transform(ps, _newlines))
+    def rows(sums: Column) -> Column:
+        start = lambda j: (F.get(sums, j) % LINE).cast("int")
+        one = lambda j: F.struct(start(j).alias("start"), (start(j) + F.length(F.get(ps, j))).alias("end"), (F.shiftright(F.get(sums, j), 32) + 1).cast("int").alias("line"), F.get(ps, j).alias("value"), F.right(F.get(ps, j - 1), F.lit(1)).alias("before"))
+        return F.transform(F.sequence(F.lit(1), F.size(ps) - 1, F.lit(2)), one)
 
-        def rows(a: Column, n: Column) -> Column:
-            one = lambda j: F.struct(F.get(a, j).alias("start"), (F.get(a, j) + F.length(F.get(ps, j))).alias("end"), (F.get(n, j) + 1).alias("line"), F.get(ps, j).alias("value"), F.right(F.get(ps, j - 1), F.lit(1)).alias("before"))
-            return F.transform(F.sequence(F.lit(1), F.size(ps) - 1, F.lit(2)), one)
+    sizes = F.transform(ps, lambda x: F.length(x) + _newlines(x) * F.lit(LINE))
+    return F.coalesce(F.when(F.size(ps) > 1, let(running(sizes), rows)), F.array().cast(MATCH))
 
-        return F.when(F.size(ps) > 1, let(at, lambda a: let(lines, lambda n: rows(a, n))))
 
-    return let(pieces, place)
+def _pieces(text: Column, pattern: str, lead: str, tail: str) -> Column:
+    marked = F.regexp_replace(text, F.lit(f"{UNICODE}({lead})({pattern}){tail}"), F.lit(f"$1{EDGE}$2{EDGE}"))
+    whole = F.lit(rf"{UNICODE}(?s)\G(.*?{lead})({pattern}){tail}")
+    slow = F.flatten(F.zip_with(F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)), lambda g, m: F.array(g, m)))
+    held = F.contains(text, F.lit(EDGE))
+    # most texts hold most patterns nowhere, and a search costs less than a replacement
+    return F.when(held, slow).when(text.rlike(f"{UNICODE}{lead}(?:{pattern}){tail}"), F.split(marked, EDGE))
 
 
 def matches(text: Column, pattern: str, lead: str = "", tail: str = "") -> Column:
@@ -71,13 +80,12 @@ def matches(text: Column, pattern: str, lead: str = "", tail: str = "") -> Colum
     front of the value and tail (zero-width) behind it, neither is part of it; before is the character in front
     of the value. Groups inside lead and pattern must not capture.
     """
-    marked = F.regexp_replace(text, F.lit(f"{UNICODE}({lead})({pattern}){tail}"), F.lit(f"$1{EDGE}$2{EDGE}"))
-    whole = F.lit(rf"{UNICODE}(?s)\G(.*?{lead})({pattern}){tail}")
-    slow = F.flatten(F.zip_with(F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)), lambda g, m: F.array(g, m)))
-    held = F.contains(text, F.lit(EDGE))
-    # most texts hold most patterns nowhere, and a search costs less than a replacement
-    pieces = F.when(held, slow).when(text.rlike(f"{UNICODE}{lead}(?:{pattern}){tail}"), F.split(marked, EDGE))
-    return F.coalesce(_placed(pieces), F.array().cast(MATCH))
+    return let(_pieces(text, pattern, lead, tail), _placed)
+
+
+def matches_each(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
+    """An array of the matches of each (pattern, lead, tail); one expression places them all."""
+    return F.transform(F.array(*[_pieces(text, *p) for p in patterns]), _placed)
 
 
 def line_of(text: Column, start: Column) -> Column:
@@ -86,7 +94,7 @@ def line_of(text: Column, start: Column) -> Column:
 
 
 def line_starts(text: Column) -> Column:
-    return let(F.split(text, "\n"), lambda lines: running(F.transform(lines, lambda x: F.length(x) + 1)))
+    return let(F.split(text, "\n"), lambda lines: running(F.transform(lines, lambda x: F.length(x).cast("long") + 1)).cast("array<int>"))
 
 
 def location_span(text: Column, start_line: Column, start_col: Column, end_line: Column, end_col: Column) -> Column:

@@ -16,10 +16,9 @@ def lookalikes(docs: DataFrame, keys: Sequence[str] = ("doc_id",), table=P.LOOKA
     """keys, start, end, line, category, value_len: of overlapping ones the earlier category's stays. Degenerate
     hex strings are no lookalikes and hold no place. One pass over the texts for all categories."""
 
-    def tagged(k: int, name: str, pattern: str) -> Column:
-        return F.transform(T.matches(F.col("text"), pattern), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["line"].alias("line"), h["value"].alias("value"), F.lit(k).alias("priority"), F.lit(name).alias("category")))
-
-    found = F.concat(*[tagged(k, name, p) for k, (name, p) in enumerate(table)])
+    names = F.array(*[F.lit(name) for name, _ in table])
+    one = lambda h, k: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["line"].alias("line"), h["value"].alias("value"), k.alias("priority"), F.get(names, k).alias("category"))
+    found = F.flatten(F.transform(T.matches_each(F.col("text"), [(p, "", "") for _, p in table]), lambda hits, k: F.transform(hits, lambda h: one(h, k))))
     rows = S.placed(docs, found, keys)
     real = rows.filter(~F.col("category").isin(*P.HEX_CATEGORIES) | ~T.degenerate_hex(F.col("value")))
     out = S.first_wins(real.select(*keys, "start", "end", "line", "category", "priority"), ("priority", "start"), keys)
@@ -44,12 +43,15 @@ def raw_candidates(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
         dots = F.length(v) - F.length(F.replace(v, F.lit("."), F.lit("")))
         return (F.length(v) >= least) & ~F.contains(v, F.lit("/")) & (dots < 2)
 
-    keyed = F.filter(T.matches(text, P.KEYWORDED_VALUE, P.KEYWORDED, P.NO_CALL), lambda h: plain(h["value"], 8))
-    quoted = F.filter(T.matches(text, P.TOKEN), lambda h: h["before"].isin('"', "'", "`") & plain(h["value"], 24))
-    every = F.concat(
-        tagged(0, "pem_private", "private_key", T.matches(text, P.PEM_PRIVATE)), tagged(1, "vendor_prefix", "vendor_token", T.matches(text, P.VENDOR)),
-        tagged(2, "entropy", "keyworded_generic", keyed), tagged(3, "entropy", "generic_high_entropy", quoted),
-    )
+    def resolved(each: Column) -> Column:
+        keyed = F.filter(F.get(each, F.lit(2)), lambda h: plain(h["value"], 8))
+        quoted = F.filter(F.get(each, F.lit(3)), lambda h: h["before"].isin('"', "'", "`") & plain(h["value"], 24))
+        return F.concat(
+            tagged(0, "pem_private", "private_key", F.get(each, F.lit(0))), tagged(1, "vendor_prefix", "vendor_token", F.get(each, F.lit(1))),
+            tagged(2, "entropy", "keyworded_generic", keyed), tagged(3, "entropy", "generic_high_entropy", quoted),
+        )
+
+    every = T.let(T.matches_each(text, [(P.PEM_PRIVATE, "", ""), (P.VENDOR, "", ""), (P.KEYWORDED_VALUE, P.KEYWORDED, P.NO_CALL), (P.TOKEN, "", "")]), resolved)
     rows = S.placed(docs, every, keys)
     least = F.when(F.col("priority") == 2, 3.0).when(F.col("priority") == 3, 4.5).otherwise(0.0)
     return rows.filter(T.entropy(F.col("value")) >= least).select(*keys, "start", "end", "line", "value", "detector", "family", "priority")
