@@ -30,18 +30,18 @@ def query(sql: str | None = None):
     return register
 
 
-#: A table smaller than this may have fewer row groups than there are cores.
-SMALL_BYTES = 256 << 20
+#: A setting of the session, off unless it is set: for tables with fewer row groups than there are cores.
+DEAL = "spark.spanloom.dealTexts"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table; texts of a small one are dealt by doc_id first, since searching them keeps a core far busier than
-    moving them. Later windows and joins by doc_id use that dealing. A large table is searched where it lies."""
+    """A table, searched where it lies, whatever its size. Where the session asks for it (DEAL), documents are dealt over
+    all cores by doc_id first; the rows are the same."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name != "documents" or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+    if name != "documents":
         return df
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # see detect.with_external
-    return df.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return df.repartition(spark.sparkContext.defaultParallelism, "doc_id") if spark.conf.get(DEAL, "false") == "true" else df
 
 
 # ---- SQL fragments
