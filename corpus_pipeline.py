@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies (five-word Jaccard >= 0.8).
 
-    Found by a prefix filter and an exact check, not by SimHash, which loses pairs at 0.8: see near_copies.
+    Found by SimHash and an exact check; pairs that SimHash leaves apart come from a prefix filter: see near_copies.
     """
     return near_copies.one_of_each(docs)
 

@@ -1,16 +1,21 @@
 """The pipeline's near-dedup: all pairs of texts whose sets of five-word shingles have Jaccard >= 0.8.
 
-A SimHash radius that is narrow enough to search loses pairs at 0.8, so candidates come from a prefix filter,
-which loses none: with all shingles in one fixed order, two sets with Jaccard >= 0.8 share one of the first
-n - ceil(0.8 n) + 1 shingles of each. Any order is right; shingles that are frequent in a sample of the texts come
-last, which keeps the groups of texts that share a shingle small. In groups of up to about GROUP sets all pairs of fitting
-lengths are candidates; in larger ones first each set with LINKS of the centers of its groups (two sets with the
-most large groups and one by a hash), so that a group of any size gives a few candidates for each of
-its sets, then the pairs that these links left in different components. A sample of the sets tells
-which groups are large, which decides the way alone: either way finds all pairs. No large group meets in one task: its
-rows are joined by broadcast, and what is left to compare is dealt by
-pairs of blocks of about BLOCK sets. A candidate goes if its bucket counts alone prove too many differences; the rest
-get their exact Jaccard. Pairs at 0.8 or more are links, links become components.
+SimHash, with settings of its own (op5 keeps the contract's): a set's fingerprint has the bits that over half of its
+shingles' hashes have. Two fingerprints within RADIUS bits agree in two of RADIUS + 2 blocks of the 64 bits, so each set has
+a key for every two blocks, and sets that share a key are compared by Hamming distance. A set is a candidate with
+the LINKS nearest of the first MOST sets before it, in an order by hash, that are within RADIUS under a key, and with LINKS
+in all, so that copies in any number give a few candidates each; sets of a key with more than about BIN fall into bins.
+Candidates get their exact Jaccard, pairs at 0.8 or more are links, links become components.
+
+Fingerprints at Jaccard 0.8 differ in about 10 bits, some in up to 20: no radius that can be searched has all pairs. The rest, pairs
+that are in different components after that, comes from a prefix filter, which loses none: with all shingles in
+one fixed order, two sets with Jaccard >= 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of each. Any order is
+right; shingles that are frequent in a sample of the texts come last, which keeps the groups of texts that share a
+shingle small. All pairs of a group that have fitting lengths and different components are candidates. In groups of over about
+GROUP sets a pair comes from its smallest shared shingle alone, and what there is to compare is dealt by pairs
+of blocks of about BLOCK sets, so that no large group meets in one task. A sample of the sets tells which groups are
+large, which decides the way alone: either way finds all pairs. A candidate goes if its bucket counts alone prove too many
+differences; the rest get their exact Jaccard too.
 
 Shingles are XXH64 hashes of lower-cased words as in op5; a text of fewer words is one shingle. Equal sets are one
 class. Defined results: null and blank texts are copies of each other; rows with a null doc_id stay; an empty table
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +36,11 @@ from pyspark.sql import functions as F
 from .ann import _flat, _groups
 from .common import discard, few, join_counted, written
 from .graph import components
+from .simhash import majority
 
 WORDS, SEED = 5, 42
-GROUP, LINKS, BLOCK = 64, 4, 4096
+RADIUS, LINKS, MOST, BIN = 10, 4, 64, 1 << 15
+GROUP, BLOCK = 64, 4096
 BUCKETS, LEAST = 256, 8
 #: One of so many is sampled for the order of shingles and the sizes of groups; those found in COMMON of them, at most MOST_COMMON, come last.
 SAMPLED, COMMON, MOST_COMMON = 8, 3, 200_000
@@ -93,19 +101,20 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """id, least (doc_id and text key of the row with the smallest doc_id), h1, h2 (the key of one of the texts),
-    n, prefix, counts: a row for each distinct set."""
+    n, fp, prefix, counts: a row for each distinct set."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = order.value
         for batch in batches:
-            digest, size, prefix, counts = [], [], [], []
+            digest, size, fps, prefix, counts = [], [], [], [], []
             for t in batch.column(3):
                 s = shingles(t.as_buffer().to_pybytes())
                 n = len(s)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 size.append(n)
+                fps.append(majority(s))
                 counts.append(np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 rank = np.zeros(n, np.int64)
                 if len(common) and n:
@@ -115,30 +124,109 @@ def _classes(docs: DataFrame) -> DataFrame:
                 prefix.append(s[first].view(np.int64))
             offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), lists, pa.array(counts, pa.binary())], ["doc_id", "h1", "h2", "digest", "n", "prefix", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(counts, pa.binary())], ["doc_id", "h1", "h2", "digest", "n", "fp", "prefix", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, h1 long, h2 long, digest binary, n long, prefix array<long>, counts binary")
-    of_set = F.first(F.struct("h1", "h2", "n", "prefix", "counts")).alias("x")
+    rows = rows.mapInArrow(run, "doc_id long, h1 long, h2 long, digest binary, n long, fp long, prefix array<long>, counts binary")
+    of_set = F.first(F.struct("h1", "h2", "n", "fp", "prefix", "counts")).alias("x")
     # ids hold as the table is written once
     return written(rows.groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h1", "h2"))).alias("least"), of_set).select(F.monotonically_increasing_id().alias("id"), "least", "x.*"), "shingle-classes")
 
 
+def _blocks() -> list[tuple[int, int]]:
+    """First bit and width of each of RADIUS + 2 blocks of a fingerprint."""
+    starts = [64 * k // (RADIUS + 2) for k in range(RADIUS + 3)]
+    return [(a, b - a) for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    """id, n, fp, key (path << 32 and more) for every two blocks (path); sets has id, n, fp."""
+    blocks = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in _blocks()]
+    wide = max(w for _, w in _blocks())
+    keys = [(F.lit(path).cast("long") * (1 << 2 * wide)) + blocks[i] * (1 << wide) + blocks[j] for path, (i, j) in enumerate(combinations(range(len(blocks)), 2))]
+    keyed = sets.select("id", "n", "fp", F.explode(F.array(*keys)).alias("key"))
+    some = keyed.filter(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(SAMPLED)) == 0)
+    # one for each BIN rows at most
+    large = some.groupBy("key").agg((SAMPLED * F.count(F.lit(1))).alias("m")).filter(F.col("m") > BIN)
+    bins = F.coalesce(F.ceil(F.col("m") / F.lit(BIN)), F.lit(1)).cast("long")
+    path = F.shiftright("key", 2 * wide)
+    place = F.pmod(F.col("key"), F.lit(1 << 2 * wide)) * F.lit(1 << 32 - 2 * wide) + F.pmod(F.xxhash64("id", F.lit(5)), bins)
+    return keyed.join(F.broadcast(large), "key", "left").select("id", "n", "fp", (F.shiftleft(path, 32) + place).alias("key"))
+
+
+def _nearest(fps: np.ndarray, n: np.ndarray, differ: list[np.uint64], radius: int, links: int, most: int, block: int = 1024) -> tuple[np.ndarray, ...]:
+    """a, b, h: positions of each set and its `links` nearest of about the first `most` sets before it that are within
+    radius (h bits), of a fitting length, and differ under each of the masks."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(0, len(fps), block):
+        end = min(i + block, len(fps))
+        left, found, near = np.arange(i, end), np.zeros(end - i, np.int64), []
+        for j in range(0, end, block):
+            x = fps[left][:, None] ^ fps[j : min(j + block, end)][None]
+            u, v = np.nonzero(np.bitwise_count(x) <= radius)
+            x, u, v = x[u, v], left[u], j + v
+            keep = v < u
+            if not keep.any():
+                continue
+            x, u, v = x[keep], u[keep], v[keep]
+            keep = 5 * np.minimum(n[u], n[v]) >= 4 * np.maximum(n[u], n[v])
+            for mask in differ:
+                keep &= x & mask != 0
+            near.append((u[keep], v[keep], np.bitwise_count(x[keep]).astype(np.int64)))
+            found += np.bincount(u[keep] - i, minlength=end - i)
+            left = left[found[left - i] < most]
+            if not len(left):
+                break
+        if near:
+            u, v, h = (np.concatenate(c) for c in zip(*near, strict=True))
+            o = np.lexsort((v, h, u))
+            u, v, h = u[o], v[o], h[o]
+            few_ = np.arange(len(u)) - np.searchsorted(u, u) < links
+            out.append((u[few_], v[few_], h[few_]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _fingerprint_pairs(classes: DataFrame, parts: int) -> DataFrame:
+    """a, b: each set with LINKS at most of those whose fingerprints are within RADIUS."""
+    masks = [((1 << w) - 1) << a for a, w in _blocks()]
+    # of the keys that a pair shares the first alone gives it: that of its first two equal blocks
+    differ = [[np.uint64(masks[k]) for k in range(j) if k != i] for i, j in combinations(range(len(masks)), 2)]
+    radius, links, most = RADIUS, LINKS, MOST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "key"):
+            key, ids, n, fps = (t.column(c).to_numpy() for c in ("key", "id", "n", "fp"))
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            fps = fps.view(np.uint64)
+            for a, m in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                x, y, h = _nearest(fps[a : a + m], n[a : a + m], differ[int(key[a]) >> 32], radius, links, most)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + x]), pa.array(ids[a + y]), pa.array(h)], ["a", "b", "h"])
+
+    keyed = _keyed(classes.select("id", "n", "fp")).repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("id"), "id")
+    near = keyed.mapInArrow(run, "a long, b long, h long")
+    nearest = Window.partitionBy("a").orderBy("h", F.xxhash64("b"), "b")
+    near = near.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= LINKS)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pairs[:, 0], pairs[:, 1]
 
 
 def _first_pairs(tokens: DataFrame, parts: int) -> DataFrame:
-    """a, b: the pairs of fitting lengths in each token's group of rows (id, n, token), about GROUP of them at most."""
+    """a, b: the pairs of fitting lengths and different components in each token's group of rows (id, n, component, token),
+    about GROUP of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "token"):
-            token, ids, n = (t.column(c).to_numpy() for c in ("token", "id", "n"))
+            token, ids, n, tree = (t.column(c).to_numpy() for c in ("token", "id", "n", "component"))
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in range(1, int(np.diff(np.append(first, len(token))).max())):
-                near = np.flatnonzero((token[:-d] == token[d:]) & (5 * n[:-d] >= 4 * n[d:]))  # sorted by n
+                near = np.flatnonzero((token[:-d] == token[d:]) & (tree[:-d] != tree[d:]) & (5 * n[:-d] >= 4 * n[d:]))  # sorted by n
                 out_a.append(ids[near])
                 out_b.append(ids[near + d])
             pairs = _once(np.concatenate(out_a), np.concatenate(out_b))
@@ -147,28 +235,10 @@ def _first_pairs(tokens: DataFrame, parts: int) -> DataFrame:
     return tokens.repartition(parts, "token").sortWithinPartitions("token", "n", "id").mapInArrow(run, "a long, b long")
 
 
-def _stars(large: DataFrame) -> DataFrame:
-    """a, b: each set of large groups with LINKS of its groups' centers at most, those whose lengths fit. large is a
-    written table of rows (token, id, n, m), m the size of the token's group."""
-    # a text with few words of its own has most of its prefix in large groups, and is near to most texts there
-    groups = large.groupBy("id").agg(F.count(F.lit(1)).alias("groups"))
-    rank = lambda k: F.shiftleft(F.col("groups"), 32) + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 32))
-    ranks = {"1": rank(1), "2": rank(2), "3": F.xxhash64("id")}
-    centers = [F.max_by(F.col(c), by).alias(c + k) for k, by in ranks.items() for c in ("id", "n")]
-    centers = written(large.join(groups, "id").groupBy("token").agg(F.first("m").alias("m"), *centers), "near-centers")
-    both = join_counted(large.drop("m"), centers, "token", "m")
-    both = both.select("id", "n", F.explode(F.array_distinct(F.array(*[F.struct(F.col("id" + k).alias("id"), F.col("n" + k).alias("n")) for k in ranks]))).alias("c"))
-    fit = (F.col("id") != F.col("c.id")) & (5 * F.least("n", "c.n") >= 4 * F.greatest("n", "c.n"))
-    stars = both.filter(fit).groupBy(F.col("id").alias("a"), F.col("c.id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    central = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("b"), "b")
-    stars = stars.withColumn("nth", F.row_number().over(central)).filter(F.col("nth") <= LINKS)
-    return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
 def _further_pairs(large: DataFrame, parts: int) -> DataFrame:
     """a, b out of rows (token, id, n, m, component, counts, least): pairs of a token whose components are different and
     whose bucket counts leave room for 0.8. Of the tokens that a pair shares the smallest alone gives it, as far as the
-    LEAST smallest of both sets' prefixes tell; that one's group, if it is a small one, gave the pair before. A token's
+    LEAST smallest of both sets' prefixes tell; that one's group, if it is a small one, gives the pair. A token's
     sets fall into blocks, and each pair of blocks is a group (key) of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,25 +309,28 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes of docs, and id, component of those that have links."""
     classes = _classes(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = written(_fingerprint_pairs(classes, parts), "near-fingerprints")
+    links = _links(docs, classes, pairs)
+    discard(pairs)
+    joined = written(components(links).withColumnRenamed("node", "id"), "near-components")
+    # the rest: what SimHash has left in different components
     tokens = classes.select("id", "n", F.explode("prefix").alias("token"))
     some = tokens.filter(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(SAMPLED)) == 0)
     sizes = written(some.groupBy("token").agg((SAMPLED * F.count(F.lit(1))).alias("m")).filter(F.col("m") > GROUP), "near-sizes")
     large = written(join_counted(tokens, sizes, "token", "m").select("token", "id", "n", "m"), "near-large")
-    small = tokens.join(few(sizes.select("token")), "token", "left_anti")
-    pairs = written(_first_pairs(small, parts).unionByName(_stars(large)).distinct(), "near-pairs")
-    discard(sizes)
-    links = _links(docs, classes, pairs)
-    joined = written(components(links).withColumnRenamed("node", "id"), "near-components")
-    named = large.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    component = F.coalesce("component", "id").alias("component")
+    small = classes.select("id", "n", "prefix").join(joined, "id", "left").select("id", "n", component, F.explode("prefix").alias("token"))
+    small = small.join(few(sizes.select("token")), "token", "left_anti")
+    named = large.join(joined, "id", "left").withColumn("component", component)
     apart = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("token")
     named = named.join(apart, "token", "left_semi").join(classes.select("id", "counts", F.slice(F.array_sort("prefix"), 1, LEAST).alias("least")), "id")
-    further = written(_further_pairs(named, parts).distinct(), "near-pairs", instead_of=pairs)
-    discard(large)
-    if not further.isEmpty():
-        more = _links(docs, classes, further)
+    rest = written(_first_pairs(small, parts).unionByName(_further_pairs(named, parts)).distinct(), "near-pairs")
+    discard(sizes, large)
+    if not rest.isEmpty():
+        more = _links(docs, classes, rest)
         joined = written(components(links.unionByName(more)).withColumnRenamed("node", "id"), "near-components", instead_of=joined)
         discard(more)
-    discard(further, links)
+    discard(rest, links)
     return classes, joined
 
 

@@ -31,6 +31,15 @@ GROUP = 20_000
 LEVELS = 6
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    h = hashes.view(np.uint8).reshape(-1, 8)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     from xxhash import xxh64_intdigest
 
@@ -44,11 +53,7 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
         hashes = [xxh64_intdigest(joined, seed)]
     else:
         hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    h = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
-    for k in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    return majority(np.array(hashes, np.uint64))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
