@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
@@ -96,6 +97,13 @@ def test_entities(spark):
     assert decode.invalid_transitions(df).first().invalid == 1
 
 
+def test_scored_pieces_leave_a_worker_in_small_batches():
+    kind = pa.schema([("doc_id", pa.int64()), *[(k, pa.int32()) for k in ("window", "pos", "start", "end")], ("label", pa.string()), ("p", pa.float64())])
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(4)), "text": ["word " * 9000] * 4})
+    sizes = [b.num_rows for b in decode._batches(iter([docs]), decode.SCORERS["rules"], decode._each_piece, kind, 512, 128)]
+    assert max(sizes) <= decode.BATCH_ROWS and sum(sizes) == 4 * sum(last - first for first, last in decode._windows(9000, 512, 128))
+
+
 def test_injected_labels_slice_back(spark):
     docs = spark.createDataFrame([(k, f"import x\nname = {k}\n# c: d\n\nend é😀") for k in range(8)] + [(8, "")], "doc_id long, text string")
     for r in inject.inject(docs).collect():
