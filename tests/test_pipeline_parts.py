@@ -97,6 +97,32 @@ def test_entities(spark):
     assert decode.invalid_transitions(df).first().invalid == 1
 
 
+def test_scorers_see_windows_and_spans_are_whole(spark):
+    def load():
+        def predict(windows):
+            assert all(len(places) <= 6 for _, places in windows)
+            # one piece of each window is I, the other O or B by their place in it: predictions depend on the window
+            return [[(0.1, 0.0, 0.9) if k == 1 else (0.3, 0.6, 0.1) if text[s] == "x" and k < 4 else (0.9, 0.1, 0.0) for k, (s, _) in enumerate(places)] for text, places in windows]
+
+        return lambda text: [(k, k + 1) for k, c in enumerate(text) if c != "\n"], predict
+
+    decode.register_scorer("test", load)
+    texts = {1: "axa\nxaxxaaxaxxx\nxaxa" * 3, 2: "", 3: "\n", 4: "aé😀xa", 5: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pieces = decode.score(docs, "test", 8, 2)
+    assert pieces.filter("window > 3").count() > 0
+    first = decode.first_window_wins(pieces)
+    want = sorted((r.doc_id, r.start, r.end, round(r.score, 9), r.n_pieces) for r in decode.entities(first).collect())
+    for tau in (None, 0.8):
+        got = decode.infer_spans(docs, "test", tau, 8, 2).collect()
+        assert sorted((r.doc_id, r.start, r.end, round(r.score_raw, 9), r.n_pieces) for r in got) == [x for x in want if tau is None or x[3] >= tau]
+        assert all(r.value == texts[r.doc_id][r.start : r.end] and r.line == texts[r.doc_id].count("\n", 0, r.start) + 1 for r in got)
+    rows = {r.doc_id: r for r in decode.infer(docs, "test", None, 8, 2).collect()}
+    assert set(rows) == set(texts) and rows[2].spans == rows[5].spans == []
+    invalid = {r.doc_id: r.invalid for r in decode.invalid_transitions(first).collect()}
+    assert {d: r.invalid_bio_transitions for d, r in rows.items()} == {d: invalid.get(d, 0) for d in texts} and sum(invalid.values()) > 0
+
+
 def test_scored_pieces_leave_a_worker_in_small_batches():
     kind = pa.schema([("doc_id", pa.int64()), *[(k, pa.int32()) for k in ("window", "pos", "start", "end")], ("label", pa.string()), ("p", pa.float64())])
     docs = pa.RecordBatch.from_pydict({"doc_id": list(range(4)), "text": ["word " * 9000] * 4})
