@@ -61,6 +61,12 @@ def packets(items: DataFrame, dup_rate: float = 0.12, around: int = 8, seed: str
     return both.select("packet_id", "lang", F.array_join(shown, "\n").alias("context")), both.select("packet_id", "id", "is_dup")
 
 
+def unsealed(given: DataFrame, sealed: DataFrame) -> DataFrame:
+    """id, label: labels of packets (packet_id, label) brought to the items of the sealed map. Packet ids have four digits, so
+    from 10,000 packets on several share one; each packet takes its id's label once, not once for every packet of that id."""
+    return sealed.join(given.select("packet_id", "label").distinct(), "packet_id").select("id", "label")
+
+
 def invalid_labels(labels: DataFrame) -> DataFrame:
     """Label rows outside the label domain; freezing needs this to be empty."""
     return labels.filter(~F.coalesce(F.col("label"), F.lit("")).isin(P.POSITIVE, P.NEGATIVE, P.AMBIGUOUS))

@@ -187,7 +187,7 @@ def packet_labels(spark, sf_dir):
     _, sealed = sample.packets(_packet_items(spark, sf_dir))
     n = F.substr("packet_id", F.lit(6)).cast("int")
     given = sealed.filter(n % 3 != 0).select("packet_id", F.when(n % 3 == 1, P.POSITIVE).otherwise(P.NEGATIVE).alias("label"))
-    return sample.resolve_labels(given.join(sealed, "packet_id").select("id", "label"))
+    return sample.resolve_labels(sample.unsealed(given, sealed))
 
 
 @query(f"""WITH {_packets} SELECT packet_id, lang FROM pk WHERE {_nth} % 3 = 0""")

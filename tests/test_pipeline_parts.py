@@ -60,6 +60,13 @@ def test_packets_are_blind_and_duplicates_identical(spark):
     assert ids["7"][0] == "a\nkey = value7\n      ^^^^^^\nb"
 
 
+def test_packets_that_share_an_id_take_its_label_once(spark):
+    sealed = spark.createDataFrame([("spkt-1000", "a", False), ("spkt-1000", "b", False), ("spkt-1000", "b", True), ("spkt-0002", "c", False)], "packet_id string, id string, is_dup boolean")
+    given = sealed.filter("packet_id = 'spkt-1000'").select("packet_id", F.lit("POLICY_POSITIVE").alias("label"))
+    got = sorted(tuple(r) for r in sample.resolve_labels(sample.unsealed(given, sealed)).collect())
+    assert got == [("a", "POLICY_POSITIVE", 1, True), ("b", "POLICY_POSITIVE", 2, True)]
+
+
 def test_labels_freeze(spark):
     rows = spark.createDataFrame([("a", "POLICY_POSITIVE"), ("a", "POLICY_POSITIVE"), ("b", "POLICY_NEGATIVE"), ("b", "POLICY_POSITIVE"), ("c", "POLICY_NEGATIVE")], "id string, label string")
     res = sample.resolve_labels(rows)
