@@ -12,10 +12,11 @@ from hashlib import sha256
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..session import written
 from . import detect, integrity, spans
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -59,14 +60,18 @@ def synthetic(value: str, seed: str, kind: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(StringType())
-def synthetic_udf(value: pd.Series, seed: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([synthetic(*x) for x in zip(value, seed, kind, strict=True)], dtype="object")
+@F.pandas_udf(ArrayType(StringType()))
+def synthetic_udf(values: pd.Series, seeds: pd.Series, kinds: pd.Series) -> pd.Series:
+    return pd.Series([[synthetic(*x) for x in zip(*each, strict=True)] for each in zip(values, seeds, kinds, strict=True)], dtype="object")
 
 
 def sanitize(docs: DataFrame, external: DataFrame | None = None, prov: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (doc_id, text, exclude_reason), (doc_id, id, start, end, line, detector, family,
-    synth_value). Excluded documents have a null text and no records."""
+    synth_value). Excluded documents have a null text and no records.
+
+    Texts are searched twice, before and after the replacement, and meet their spans in one join. What is found is written
+    in between: spans without values, texts that passed the gates with their records, and ids of documents with new
+    candidates."""
     own = detect.candidates(docs)
     out_of_bounds = None
     found = own.select("doc_id", "start", "end", "detector", "family", F.lit(0).alias("external"))
@@ -75,15 +80,16 @@ def sanitize(docs: DataFrame, external: DataFrame | None = None, prov: str = "do
         fine = F.expr("0 <= start and start < end and end <= n")
         out_of_bounds = placed.filter(~F.coalesce(fine, F.lit(False))).select("doc_id").distinct().withColumn("bounds", F.lit(True))
         found = detect.with_external(own, placed.filter(fine))
-    rows = found.join(docs.select("doc_id", "text"), "doc_id")
-    raw = T.cut(F.col("text"), F.col("start"), F.col("end"))
-    seed = F.concat_ws("|", F.col(prov).cast("string"), F.col("start").cast("string"), F.col("end").cast("string"))
-    kind = F.when((F.col("detector") == "pem_private") | raw.rlike(P.PEM_PRIVATE), "pem_private").when(F.col("external") == 1, "external").otherwise(F.col("detector"))
-    rows = rows.select("doc_id", "start", "end", "detector", "family", T.line_of(F.col("text"), F.col("start")).alias("line"), raw.alias("raw"), seed.alias("seed"), kind.alias("kind"), integrity.candidate_id(F.col(prov).cast("string"), F.col("start"), F.col("end"), F.col("family")).alias("id"))
-    rows = rows.withColumn("synth_value", synthetic_udf("raw", "seed", "kind"))
-
-    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "raw", "synth_value"))).alias("c"))
-    joined = docs.select("doc_id", "text").join(per, "doc_id", "left").withColumn("c", F.coalesce("c", F.array().cast(per.schema["c"].dataType)))
+    found = written(found, "found-spans")
+
+    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "detector", "family", "external"))).alias("c"))
+    joined = docs.select(*dict.fromkeys(("doc_id", "text", prov))).join(per, "doc_id", "left").withColumn("c", F.coalesce("c", F.array().cast(per.schema["c"].dataType)))
+    joined = joined.withColumn("c", F.transform("c", lambda x: x.withField("raw", T.cut(F.col("text"), x["start"], x["end"]))))
+    source = F.col(prov).cast("string")
+    seeds = F.transform("c", lambda x: F.concat_ws("|", source, x["start"].cast("string"), x["end"].cast("string")))
+    kind = lambda x: F.when((x["detector"] == "pem_private") | x["raw"].rlike(P.PEM_PRIVATE), "pem_private").when(x["external"] == 1, "external").otherwise(x["detector"])
+    joined = joined.withColumn("synth", synthetic_udf(F.transform("c", lambda x: x["raw"]), seeds, F.transform("c", kind)))
+    joined = joined.withColumn("c", F.zip_with("c", "synth", lambda x, v: x.withField("synth_value", v)))
     if out_of_bounds is not None:
         joined = joined.join(out_of_bounds, "doc_id", "left")
     else:
@@ -95,10 +101,13 @@ def sanitize(docs: DataFrame, external: DataFrame | None = None, prov: str = "do
     reason = reason.when(F.exists("c", lambda x: (x["synth_value"] == x["raw"]) | (F.length(x["synth_value"]) != F.length(x["raw"]))), "candidate can't be replaced")
     reason = reason.when(F.exists("c", lambda x: T.cut(F.col("clean"), x["start"], x["end"]) != x["synth_value"]), "offsets differ")
     reason = reason.when(F.exists("c", lambda x: (core(x)["n"] >= 8) & F.contains(F.col("clean"), core(x)["v"])), "raw value left in the text")
-    gated = joined.select("doc_id", "clean", reason.alias("exclude_reason"))
-    again = detect.candidates(gated.filter("exclude_reason is null").select("doc_id", F.col("clean").alias("text")))
-    new = spans.covered(again, rows.select("doc_id", "start", "end"), how="left_anti").select("doc_id").distinct().withColumn("new", F.lit(True))
-    gated = gated.join(new, "doc_id", "left").withColumn("exclude_reason", F.coalesce("exclude_reason", F.when(F.col("new"), "new candidate after replacement")))
-    texts = gated.select("doc_id", F.when(F.col("exclude_reason").isNull(), F.col("clean")).alias("text"), "exclude_reason")
-    records = rows.join(texts.filter("exclude_reason is null").select("doc_id"), "doc_id", "left_semi")
-    return texts, records.select("doc_id", "id", "start", "end", "line", "detector", "family", "synth_value")
+    joined = joined.withColumn("exclude_reason", reason)
+    record = lambda x: F.struct(integrity.candidate_id(source, x["start"], x["end"], x["family"]).alias("id"), x["start"].alias("start"), x["end"].alias("end"), T.line_of(F.col("text"), x["start"]).alias("line"), x["detector"].alias("detector"), x["family"].alias("family"), x["synth_value"].alias("synth_value"))
+    passed = F.col("exclude_reason").isNull()
+    gated = joined.select("doc_id", F.when(passed, F.col("clean")).alias("text"), "exclude_reason", F.when(passed, F.transform("c", record)).alias("records"))
+    gated = written(gated, "gated-texts")
+    again = detect.candidates(gated.filter("exclude_reason is null").select("doc_id", "text"))
+    new = written(spans.covered(again, found.select("doc_id", "start", "end"), how="left_anti").select("doc_id").distinct(), "new-candidates")
+    marked = gated.join(new.withColumn("new", F.lit(True)), "doc_id", "left").withColumn("exclude_reason", F.coalesce("exclude_reason", F.when(F.col("new"), "new candidate after replacement")))
+    texts = marked.select("doc_id", F.when(F.col("exclude_reason").isNull(), F.col("text")).alias("text"), "exclude_reason")
+    return texts, marked.filter("exclude_reason is null").select("doc_id", F.inline("records"))

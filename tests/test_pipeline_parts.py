@@ -168,6 +168,15 @@ def test_sanitizing(spark):
     assert all(len(i) == 16 for i in ids.values()) and len(set(ids.values())) == len(ids) and not any(d == 5 for d, _ in ids)
 
 
+def test_sanitized_tables_are_computed_once(spark):
+    docs = spark.createDataFrame(list(SECRETS.items()), "doc_id long, text string")
+    texts, records = sanitize.sanitize(docs)
+    for df in (texts, records):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "PythonUDF" not in plan and "Window" not in plan and "regexp" not in plan and plan.count("Relation") == 2
+    assert texts.count() == 5
+
+
 def test_external_spans_out_of_bounds_exclude(spark):
     docs = spark.createDataFrame([(1, "abcdef"), (2, 'x = "value-of-some-kind"')], "doc_id long, text string")
     ext = spark.createDataFrame([(1, 0, 99, "gitleaks", "other"), (2, 5, 23, "gitleaks", "other")], "doc_id long, start int, end int, detector string, family string")
